@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chromalyne.llm import media, packing, sharding
+from chromalyne.llm import decontaminate, fingerprint_index, media, near_dedup, packing, sharding
 from chromalyne.llm.common import table
 
 
@@ -17,14 +17,30 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op5_fingerprint_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprint_index.dedup_substrings(table(spark, sf_dir, "documents"), window=13)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op6_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, end_id=1)
 
 
+NEAR = near_dedup.NearParams(words=3, numerator=85, denominator=100)
+
+
+def op7_bayes_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), NEAR)
+
+
 def op8_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = media.audio_features(table(spark, sf_dir, "documents"))
     return found.select(
@@ -36,8 +52,11 @@ def op8_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_spaced_seeds": op1_spaced_seeds,
     "op2_jump_sharding": op2_jump_sharding,
+    "op5_fingerprint_index": op5_fingerprint_index,
     "op6_histogram_packing": op6_histogram_packing,
+    "op7_bayes_minhash": op7_bayes_minhash,
     "op8_audio_features": op8_audio_features,
 }
 ORACLES: dict[str, str] = {}
