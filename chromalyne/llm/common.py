@@ -132,9 +132,11 @@ class Words:
         self.first = np.searchsorted(self.starts, ends)  # of each row, rows + 1 of them
         self.counts = np.diff(self.first)
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, prefix: int | None = None) -> np.ndarray:
+        """Of whole words, or of their first `prefix` bytes (of shorter words the whole)."""
         out = np.empty(len(self.starts), np.uint64)
-        lengths = self.stops - self.starts
+        ends = self.stops if prefix is None else np.minimum(self.stops, self.starts + prefix)
+        lengths = ends - self.starts
         step = 1 << 17
         for a in range(0, len(out), step):
             b = min(a + step, len(out))
@@ -144,7 +146,7 @@ class Words:
                 terms *= _powers(_MULTIPLIER, len(terms))
                 sums = np.zeros(len(terms) + 1, np.uint64)
                 np.cumsum(terms, out=sums[1:])
-                h = sums[self.stops[a:b] - lo] - sums[self.starts[a:b] - lo]
+                h = sums[ends[a:b] - lo] - sums[self.starts[a:b] - lo]
                 h *= _powers(_INVERSE, len(terms))[self.starts[a:b] - lo]
                 out[a:b] = mix(h + lengths[a:b].astype(np.uint64))
         return out
@@ -187,6 +189,28 @@ def gapless_rank(df: DataFrame, group: list[str], order: list[str], out: str, ro
     return joined.select(*df.columns, F.col(out).cast("long").alias(out))
 
 
+def training_sample(rows: DataFrame, by: str, most: int, most_bytes: int, key: str = "doc_id", text: str = "text") -> list:
+    """At most `most` rows for each value of `by`, the first by a hash of the key, as driver rows (key, text, by).
+
+    The bound is the caller's documented parameter; texts over most_bytes (UTF-8) are not used for training, so the
+    driver holds at most most * most_bytes bytes per value of `by`.
+    """
+    small = rows.where(F.col(by).isNotNull() & (F.octet_length(F.col(text)) <= most_bytes)).select(F.col(key).alias("__key"), F.col(by).alias("__by"), F.xxhash64(key).alias("__hash"))
+    bits = 16  # two steps, so that no window sorts a whole class: hash prefixes are counted, then only enough of them are ranked
+    counts = small.groupBy("__by", F.shiftrightunsigned("__hash", 64 - bits).alias("__lead")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("__by").orderBy("__lead").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    needed = counts.withColumn("before", before).where(F.col("before") < most).groupBy("__by").agg(F.max("__lead").alias("__last"))
+    lasts = {r["__by"]: r["__last"] for r in needed.collect()}
+    if not lasts:
+        return []
+    within = F.lit(False)
+    for value, last in lasts.items():
+        within = within | ((F.col(by) == F.lit(value)) & (F.shiftrightunsigned(F.xxhash64(key), 64 - bits) <= last))
+    found = rows.where(within & (F.octet_length(F.col(text)) <= most_bytes)).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(by).alias("by"), F.xxhash64(key).alias("hash"))
+    top = Window.partitionBy("by").orderBy(F.shiftrightunsigned("hash", 64 - bits), "hash", "key")
+    return found.withColumn("place", F.row_number().over(top)).where(F.col("place") <= most).orderBy("by", "place").select("key", "text", "by").collect()
+
+
 def crc_rest(column: str, n: int) -> Column:
     """CRC-32 of a column as text, modulo n; a null counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(n))
