@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from chromalyne.llm.common import Words, delete_path, map_arrow, mix, new_path, slices
 
@@ -252,27 +253,25 @@ class FingerprintIndex:
         return out.groupBy("part").applyInArrow(_spans, "doc_id long, crc long, hits binary")
 
 
-def _trim(window: int):
+def _trim(window: int, carried: bool):
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+
     def run(batch: pa.RecordBatch):
         for part in slices(batch, "text", SLICE_BYTES):
             out = []
             for doc, text, hits in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "hits"))):
                 words = (text or "").encode().split()
-                kept, removed = text, 0
+                kept, stays = text, words
                 if hits:
                     edge = np.zeros(len(words) + 1, np.int32)
                     first = np.frombuffer(hits, "<u4")
                     np.add.at(edge, first, 1)
                     np.add.at(edge, first + window, -1)
-                    stay = np.cumsum(edge[:-1]) == 0
-                    removed = int(len(words) - stay.sum())
-                    words_kept = [w for w, s in zip(words, stay.tolist()) if s]
-                    kept = b" ".join(words_kept).decode()
-                    digest = hashlib.sha256(b" ".join(words_kept)).hexdigest()
-                else:
-                    digest = hashlib.sha256(b" ".join(words)).hexdigest()
-                out.append((doc, len(words), removed, kept, digest))
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))], ["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"])
+                    stays = [w for w, s in zip(words, (np.cumsum(edge[:-1]) == 0).tolist()) if s]
+                    kept = b" ".join(stays).decode()
+                out.append((doc, len(words), len(words) - len(stays), kept, hashlib.sha256(b" ".join(stays)).hexdigest()))
+            columns = [pa.array(x, k) for x, k in zip(zip(*out), kinds)]
+            yield pa.RecordBatch.from_arrays(columns + [part.column("row")] * carried, ["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"] + ["row"] * carried)
 
     return run
 
@@ -280,7 +279,7 @@ def _trim(window: int):
 TRIMMED = "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string"
 
 
-def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, batches: int = 4, fanout: int = 3) -> DataFrame:
+def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, batches: int = 4, fanout: int = 3, carry: bool = False) -> DataFrame:
     """Remove every word that a window of `window` words covers whose words also start in a document with a smaller key.
 
     docs go through a FingerprintIndex in `batches` batches of ascending keys. Windows are judged on the input. Returns
@@ -288,10 +287,12 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     words joined by one space) and kept_sha256 (of the kept words joined by one space). Null and empty texts have no
     words; texts shorter than the window have no windows. Rows that repeat a key are not smaller than each other, so
     they don't remove each other's words; each is trimmed by its own windows. Rows with a null key are neither
-    indexed nor trimmed. Long texts are windowed whole. Only the key and text are read.
+    indexed nor trimmed. Long texts are windowed whole. Only the key and text are read; with `carry`, all input columns
+    come back as a struct column `row`, where names can't clash.
     """
     spark = docs.sparkSession
-    own = docs.select(F.col(key).cast("long").alias("doc_id"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("crc"), F.col(text).alias("text"))
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] * carry
+    own = docs.select(F.col(key).cast("long").alias("doc_id"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("crc"), F.col(text).alias("text"), *row)
     keyed = own.where("doc_id is not null")
     size = keyed.agg(F.sum(F.octet_length("text")).alias("size"), F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 10_000).alias("cuts")).first()
     index = FingerprintIndex(spark, (size["size"] or 0) // 6, window, fanout)
@@ -302,4 +303,5 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", w
         paths.append(index.ingest(part if high is None else part.where(F.col("doc_id") <= high)))
     hits = index.hits(paths).withColumnsRenamed({"doc_id": "hit_id", "crc": "hit_crc"})
     joined = own.join(hits, (own["doc_id"] == hits["hit_id"]) & (own["crc"] == hits["hit_crc"]), "left")
-    return map_arrow(joined.select("doc_id", "text", "hits"), _trim(window), TRIMMED)
+    schema = StructType(list(_parse_datatype_string(TRIMMED)) + [f for f in own.schema if f.name == "row"])
+    return map_arrow(joined.select("doc_id", "text", "hits", *["row"] * carry), _trim(window, carry), schema)
