@@ -46,6 +46,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Texts are far wider than usual rows: fewer of them in an Arrow batch keep JVM and Python workers small."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch] | pa.RecordBatch], schema: str | T.StructType) -> DataFrame:
     """fn over every Arrow batch of df; it may answer with one batch or several."""
 
@@ -55,6 +62,7 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBa
                 out = fn(batch)
                 yield from ([out] if isinstance(out, pa.RecordBatch) else out)
 
+    bound_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

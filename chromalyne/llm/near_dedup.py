@@ -15,19 +15,21 @@ from pyspark.sql import functions as F
 from chromalyne.llm.common import Words, map_arrow, mix, shingle_hashes, slices, written
 from chromalyne.llm.components import components
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 @dataclass(frozen=True)
 class NearParams:
     """words in a shingle; the least similarity as a ratio of whole numbers; hashes in a band; the chance that a pair at
-    the threshold shares no band or is pruned; members of a bucket that are compared as one block."""
+    the threshold shares no band or is pruned; hashes of a signature at least (bands use the first of them);
+    members of a bucket that are compared as one block."""
 
     words: int = 5
     numerator: int = 80
     denominator: int = 100
     rows: int = 4
     miss: float = 1e-5
+    least_hashes: int = 128
     block: int = 128
 
     @property
@@ -40,7 +42,7 @@ class NearParams:
 
     @property
     def hashes(self) -> int:
-        return self.bands * self.rows
+        return max(self.bands * self.rows, self.least_hashes)
 
 
 @functools.lru_cache(8)
@@ -123,7 +125,8 @@ def _sketch(params: NearParams):
 
 def _band_keys(params: NearParams):
     def run(batch: pa.RecordBatch):
-        sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u4").reshape(-1, params.bands, params.rows)
+        sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u4").reshape(-1, params.hashes)
+        sig = sig[:, : params.bands * params.rows].reshape(-1, params.bands, params.rows)
         key = np.zeros(sig.shape[:2], np.uint64)
         with np.errstate(over="ignore"):
             for r in range(params.rows):
@@ -162,122 +165,180 @@ def _sets(params: NearParams):
     return run
 
 
-def _confirm(params: NearParams):
-    """Rows come sorted by (a, salt, kind): the set of `a` first, then those it is held against; one set is kept at a time."""
+CONFIRMED = "a long, b long, linked boolean, size_a long, minus binary, plus binary"
+
+
+def _confirm(params: NearParams, differences: bool):
+    """Pairs on full sets: linked, and with `differences` also what b's set lacks and has beyond a's.
+
+    Rows come sorted by (a, salt, kind): the set of `a` first, then those it is held against; one set is kept at a time.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, own = None, np.zeros(0, np.uint64)
         for batch in batches:
             out = []
-            for a, kind, b, blob in zip(*(batch.column(c).to_pylist() for c in ("a", "kind", "b", "shingles"))):
-                s = np.frombuffer(blob, np.uint64)
-                if kind == 0:
-                    head, own = a, s
+            for a, kind, b, blob in zip(*(batch.column(c) for c in ("a", "kind", "b", "shingles"))):
+                s = np.frombuffer(blob.as_buffer(), np.uint64)
+                if kind.as_py() == 0:
+                    head, own = a.as_py(), s.copy()
                     continue
-                if a != head:
+                if a.as_py() != head:
                     raise ValueError("a pair came without its first set")
-                small, large = (s, own) if len(s) <= len(own) else (own, s)
-                at = np.searchsorted(large, small)
-                at[at == len(large)] = 0
-                common = int((large[at] == small).sum())
-                if params.denominator * common >= params.numerator * (len(s) + len(own) - common):
-                    out.append((a, b))
+                at = np.searchsorted(own, s)
+                at[at == len(own)] = 0
+                shared = own[at] == s
+                common = int(shared.sum())
+                linked = params.denominator * common >= params.numerator * (len(s) + len(own) - common)
+                minus = plus = None
+                if differences:
+                    lacks = np.ones(len(own), bool)
+                    lacks[at[shared]] = False
+                    minus, plus = own[lacks].tobytes(), s[~shared].tobytes()
+                out.append((head, b.as_py(), linked, len(own), minus, plus))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["u", "v"])
+                kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], ["a", "b", "linked", "size_a", "minus", "plus"])
+
+    return run
+
+
+def _far_blocks(params: NearParams):
+    """Blocks of a bucket's far members against blocks of all: the pairs that their signatures don't rule out."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        def part(cell: pa.StructArray):
+            return cell.field("rep").to_numpy(), np.frombuffer(b"".join(cell.field("sig").to_pylist()), "<u4").reshape(-1, params.hashes)
+
+        for i in range(batch.num_rows):
+            (x, sx), (y, sy) = (part(batch.column(c)[i].values) for c in ("far", "all"))
+            p, q = np.nonzero(x[:, None] != y[None, :])
+            live = surviving(sx[p], sy[q], params)
+            a, b = np.minimum(x[p[live]], y[q[live]]), np.maximum(x[p[live]], y[q[live]])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return run
+
+
+def _star_blocks(params: NearParams):
+    """Blocks of a pivot's outsiders against blocks of all its members, exactly: sets are the pivot's less `minus` plus
+    `plus`, so the common part of two is known from their small differences. One link for each two components."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        def part(cell: pa.StructArray):
+            lists = [[np.frombuffer(v.as_buffer(), np.uint64) for v in cell.field(c)] for c in ("minus", "plus")]
+            return cell.field("rep").to_numpy(), cell.field("component").to_numpy(), lists
+
+        for i in range(batch.num_rows):
+            size = batch.column("size_a")[i].as_py()
+            sides = [part(batch.column(c)[i].values) for c in ("out", "all")]
+            flat = [np.concatenate([np.concatenate(x) for x in zip(*lists)]) for _, _, lists in sides]
+            kinds, ids = np.unique(np.concatenate(flat), return_inverse=True)
+            matrices, counts = [], []
+            at = 0
+            for reps, _, (minus, plus) in sides:
+                n = [len(m) + len(p) for m, p in zip(minus, plus)]
+                matrix = np.zeros((len(reps), max(1, len(kinds))), np.float32)
+                matrix[np.repeat(np.arange(len(reps)), n), ids[at : at + sum(n)]] = 1.0
+                at += sum(n)
+                matrices.append(matrix)
+                counts.append((np.array([len(m) for m in minus]), np.array([len(p) for p in plus])))
+            (mx, px), (my, py) = counts
+            both = (matrices[0] @ matrices[1].T).astype(np.int64)
+            common = size - mx[:, None] - my[None, :] + both
+            union = (2 * size - mx + px)[:, None] - (my - py)[None, :] - common
+            (x, cx, _), (y, cy, _) = sides
+            p, q = np.nonzero((params.denominator * common >= params.numerator * union) & (cx[:, None] != cy[None, :]))
+            if len(p):
+                _, one = np.unique(np.column_stack([cx[p], cy[q]]), axis=0, return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x[p[one]]), pa.array(y[q[one]])], ["u", "v"])
 
     return run
 
 
 class _Search:
-    """Links between representatives: banded candidates, pruned by signatures, confirmed on full sets."""
+    """Links between representatives (rep, sig) of the documents' sets.
+
+    1. Every member of a band bucket is paired with the bucket's pivot, the member that has most bucket mates over all
+       bands: as many pairs as members. Signatures rule out the far ones; the near ones are confirmed on full sets.
+    2. Near members that are in another component than the pivot are compared with all near members of that pivot,
+       exactly, from their differences to the pivot's set.
+    3. Far members are compared with all members of their bucket by signatures, survivors on full sets.
+    Steps 2 and 3 work on blocks of members inside one call, so rows are blocks and links, never a group's pairs.
+    """
 
     def __init__(self, docs: DataFrame, reps: DataFrame, params: NearParams):
         self.docs, self.reps, self.params = docs, reps, params
+        self.spread = docs.sparkSession.sparkContext.defaultParallelism * 4
+
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """Full sets of some documents; the hint keeps the list of ids, which grows with the input, from being broadcast."""
+        texts = self.docs.select(F.col("doc_id").alias("id"), "text").join(ids.distinct().hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"])
+        return written(map_arrow(texts, _sets(self.params), "id long, shingles binary"), "sets")
 
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose full sets reach the threshold, as a written table (u, v)."""
-        pairs = written(pairs, "pairs")
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        texts = self.docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi").dropDuplicates(["id"])
-        sets = written(map_arrow(texts, _sets(self.params), "id long, shingles binary"), "sets")
-        fan = pairs.groupBy("a").agg(F.ceil(F.count("*") / 256).alias("fan"))
+    def confirmed(self, pairs: DataFrame, sets: DataFrame, differences: bool = False) -> DataFrame:
+        fan = pairs.groupBy("a").agg(F.ceil(F.count("*") / 64).alias("fan"))
         salted = pairs.join(fan, "a").select("a", "b", F.pmod(F.xxhash64("b"), "fan").alias("salt"))
         heads = salted.select("a", "salt").distinct().join(sets, F.col("a") == F.col("id")).select("a", "salt", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("b"), "shingles")
         tails = salted.join(sets, F.col("b") == F.col("id")).select("a", "salt", F.lit(1).alias("kind"), "b", "shingles")
         rows = heads.unionByName(tails).repartition("a", "salt").sortWithinPartitions("a", "salt", "kind")
-        return written(rows.mapInArrow(_confirm(self.params), "u long, v long"), "links")
-
-    def pruned(self, pairs: DataFrame) -> DataFrame:
-        a, b = (self.reps.select(F.col("rep").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
-        return map_arrow(pairs.join(a, "a").join(b, "b").select("a", "b", "sig_a", "sig_b"), _prune(self.params), "a long, b long")
+        return written(rows.mapInArrow(_confirm(self.params, differences), CONFIRMED), "confirmed")
 
     def buckets(self) -> DataFrame:
-        """(bucket, rep, weight) of buckets with at least two members. weight: how many bucket mates a member has over
-        all bands; the original of a group of altered copies has the most."""
+        """(bucket, rep, pivot) of buckets with at least two members."""
         rows = map_arrow(self.reps.select("rep", "sig"), _band_keys(self.params), "bucket long, rep long")
         rows = written(rows, "bands")
         shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
         rows = rows.join(shared, "bucket")
         weights = rows.groupBy("rep").agg(F.sum("n").alias("weight"))
-        return written(rows.select("bucket", "rep").join(weights, "rep").select("bucket", "rep", "weight"), "buckets")
-
-    def to_pivots(self, buckets: DataFrame) -> DataFrame:
-        """Every member paired with its bucket's pivot, the member of most weight: as many pairs as members."""
-        best = buckets.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"))).alias("best"))
-        pivots = best.select("bucket", (-F.col("best.minus")).alias("pivot"))
-        return buckets.join(pivots, "bucket").where("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-
-    def across(self, buckets: DataFrame, groups: DataFrame) -> DataFrame:
-        """Surviving pairs of a bucket's members whose components differ, with the matches of their signatures.
-
-        Members outside the bucket's largest component meet all its members, a block against a block, compared as
-        arrays inside one call: rows are blocks, not pairs.
-        """
-        params = self.params
-        own = buckets.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        counts = own.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-        mixed = counts.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("n").alias("members"), F.max(F.struct("n", "component")).alias("most")).where("parts > 1")
-        live = own.join(mixed.select("bucket", "members", F.col("most.component").alias("largest")), "bucket").join(self.reps.select("rep", "sig"), "rep")
-        live = written(live.select("bucket", "rep", "component", "largest", "members", "sig"), "mixed")
-        fan = F.ceil(F.col("members") / params.block)
-        blocked = live.withColumn("block", F.pmod(F.xxhash64("rep"), fan))
-        pack = [F.collect_list(F.struct("rep", "component", "sig")).alias("rows")]
-        everyone = blocked.groupBy("bucket", "block").agg(*pack).select("bucket", F.col("rows").alias("all"))
-        outside = blocked.where("component != largest").groupBy("bucket", "block").agg(*pack).select("bucket", F.col("rows").alias("out"))
-
-        def compare(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            def part(cell: pa.StructArray):
-                sig = np.frombuffer(b"".join(cell.field("sig").to_pylist()), "<u4").reshape(-1, params.hashes)
-                return cell.field("rep").to_numpy(), cell.field("component").to_numpy(), sig
-
-            for i in range(batch.num_rows):
-                (x, cx, sx), (y, cy, sy) = (part(batch.column(c)[i].values) for c in ("out", "all"))
-                p, q = np.nonzero(cx[:, None] != cy[None, :])
-                if not len(p):
-                    continue
-                live = surviving(sx[p], sy[q], params)
-                p, q = p[live], q[live]
-                a, b = np.minimum(x[p], y[q]), np.maximum(x[p], y[q])
-                lo, hi = np.minimum(cx[p], cy[q]), np.maximum(cx[p], cy[q])
-                yield pa.RecordBatch.from_arrays([pa.array(z, pa.int64()) for z in (a, b, lo, hi, (sx[p] == sy[q]).sum(1))], ["a", "b", "ca", "cb", "matches"])
+        rows = rows.select("bucket", "rep").join(weights, "rep")
+        best = rows.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"))).alias("best"), F.count("*").alias("members"))
+        return written(rows.select("bucket", "rep").join(best.select("bucket", (-F.col("best.minus")).alias("pivot"), "members"), "bucket"), "buckets")
 
-        blocks = outside.join(everyone, "bucket").select("out", "all").repartition(self.docs.sparkSession.sparkContext.defaultParallelism * 4)
-        return written(map_arrow(blocks, compare, "a long, b long, ca long, cb long, matches long").distinct(), "across")
+    def near(self, buckets: DataFrame) -> DataFrame:
+        """(a, b): pivots and members that signatures don't rule out."""
+        pairs = buckets.where("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+        a, b = (self.reps.select(F.col("rep").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
+        return written(map_arrow(pairs.join(a, "a").join(b, "b").select("a", "b", "sig_a", "sig_b"), _prune(self.params), "a long, b long"), "near")
+
+    def far(self, buckets: DataFrame, near: DataFrame) -> DataFrame:
+        """(a, b): survivors among the pairs of a far member and any other member but the pivot."""
+        known = near.select(F.col("a").alias("pivot"), F.col("b").alias("rep"), F.lit(True).alias("near"))
+        rows = buckets.where("members > 2 and rep != pivot").join(known, ["pivot", "rep"], "left")
+        mixed = rows.where("near is null").select("bucket").distinct()
+        rows = written(rows.join(mixed, "bucket", "left_semi").join(self.reps.select("rep", "sig"), "rep").select("bucket", "rep", "members", "near", "sig"), "far")
+        blocked = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("members") / self.params.block)))
+        pack = F.collect_list(F.struct("rep", "sig"))
+        everyone = blocked.groupBy("bucket", "block").agg(pack.alias("all")).select("bucket", "all")
+        outside = blocked.where("near is null").groupBy("bucket", "block").agg(pack.alias("far")).select("bucket", "far")
+        blocks = outside.join(everyone, "bucket").select("far", "all").repartition(self.spread)
+        return written(map_arrow(blocks, _far_blocks(self.params), "a long, b long").distinct(), "survivors")
+
+    def across(self, stars: DataFrame, groups: DataFrame) -> DataFrame:
+        """(u, v): links between near members of one pivot whose components differ."""
+        named = groups.withColumnRenamed("component", "own")
+        rows = stars.join(named.withColumnsRenamed({"node": "b", "own": "component"}), "b", "left").join(named.withColumnsRenamed({"node": "a", "own": "pivot_component"}), "a", "left")
+        rows = rows.select("a", "size_a", "minus", "plus", F.col("b").alias("rep"), F.coalesce("component", "b").alias("component"), F.coalesce("pivot_component", "a").alias("pivot_component"))
+        mixed = rows.groupBy("a").agg(F.count("*").alias("members"), F.count(F.when(F.col("component") != F.col("pivot_component"), 1)).alias("outside")).where("outside > 0 and members > 1")
+        rows = written(rows.join(mixed, "a"), "stars")
+        blocked = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("members") / self.params.block)))
+        pack = F.collect_list(F.struct("rep", "component", "minus", "plus"))
+        everyone = blocked.groupBy("a", "block").agg(pack.alias("all")).select("a", "all")
+        outside = blocked.where("component != pivot_component").groupBy("a", "block", "size_a").agg(pack.alias("out")).select("a", "size_a", "out")
+        blocks = outside.join(everyone, "a").select("size_a", "out", "all").repartition(self.spread)
+        return map_arrow(blocks, _star_blocks(self.params), "u long, v long").distinct()
 
     def links(self) -> DataFrame:
         buckets = self.buckets()
-        found = self.confirmed(self.pruned(self.to_pivots(buckets)))
-        groups = written(components(found), "groups")
-        rest = self.across(buckets, groups)
-        # of each two components first the pair that agrees most, then, where components still differ, all others
-        best = rest.groupBy("ca", "cb").agg(F.max(F.struct("matches", "a", "b")).alias("best")).select(F.col("best.a").alias("a"), F.col("best.b").alias("b"))
-        found = written(found.unionByName(self.confirmed(best)), "links")
+        near = self.near(buckets)
+        far = self.far(buckets, near)
+        pairs = near.unionByName(far)
+        sets = self.sets(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))))
+        stars = self.confirmed(near, sets, differences=True)
+        rest = self.confirmed(far, sets)
+        found = stars.unionByName(rest).where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
         groups = written(components(found), "groups")
-        for end in ("a", "b"):
-            at = groups.select(F.col("node").alias(end), F.col("component").alias(f"now_{end}"))
-            rest = rest.join(at, end, "left")
-        rest = rest.join(best, ["a", "b"], "left_anti").where(F.coalesce("now_a", "a") != F.coalesce("now_b", "b"))
-        return found.unionByName(self.confirmed(rest.select("a", "b")))
+        return found.unionByName(self.across(stars.drop("linked"), groups))
 
 
 def near_duplicates(docs: DataFrame, params: NearParams = NearParams(), key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -286,10 +347,9 @@ def near_duplicates(docs: DataFrame, params: NearParams = NearParams(), key: str
     Returns a row per input row: doc_id, n_shingles (size of the set), component_id (the smallest doc_id reachable over
     links, itself included) and kept (whether they are equal).
 
-    Equal sets are one representative first (a grouped minimum), so any number of copies costs one signature. Band
-    buckets pair each member with the bucket's pivot; where a bucket still holds several components, its outsiders are
-    compared with all its members in blocks. All survivors of the signature test are confirmed on full sets. A pair at
-    the threshold is missed with a chance of about 2 * params.miss, more similar ones more rarely.
+    Equal sets are one representative first (a grouped minimum), so any number of copies costs one signature. Links
+    between representatives are found as _Search tells; every link is confirmed on full sets. A pair at the threshold
+    is missed with a chance of about 3 * params.miss, more similar ones more rarely.
 
     Null or empty texts have no shingles and link with nothing; so do rows with a null key (component_id null, kept
     true). Rows that repeat a key are one node and should repeat its text. Long texts are taken whole. Only the key
