@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -30,10 +31,26 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/chromalyne/{tag}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def shuffles_released(spark: SparkSession) -> Iterator[None]:
+    """Spark drops the shuffle files of what runs inside as soon as it has ended, not when the driver next collects garbage.
+
+    For writes of tables whose inputs are not read again; a later reader of such a shuffle would compute it again.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a table in the shared folder: lineage ends there and a lost executor costs no recomputation of what came before."""
     path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    with shuffles_released(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -46,18 +63,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bound_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Texts are far wider than usual rows: fewer of them in an Arrow batch keep JVM and Python workers small."""
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most so many rows for what is planned and run inside."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def bound_batches(spark: SparkSession, rows: int = 256) -> None:
+    """Texts are far wider than usual rows: fewer of them in an Arrow batch keep the buffers of JVM and Python workers small."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= rows:
         spark.conf.set(name, str(rows))
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch] | pa.RecordBatch], schema: str | T.StructType) -> DataFrame:
-    """fn over every Arrow batch of df; it may answer with one batch or several."""
+def gathered(batches: Iterator[pa.RecordBatch], column: str, least_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The rows of small batches in larger ones, each with about least_bytes of the column's data."""
+    waiting, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            waiting.append(batch)
+            size += batch.column(column).nbytes
+        if size >= least_bytes:
+            yield pa.concat_batches(waiting)
+            waiting, size = [], 0
+    if waiting:
+        yield pa.concat_batches(waiting)
+
+
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch] | pa.RecordBatch], schema: str | T.StructType, gather: tuple[str, int] | None = None) -> DataFrame:
+    """fn over every Arrow batch of df; it may answer with one batch or several. gather: a column and how many of its bytes fn should get at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in gathered(batches, *gather) if gather else batches:
             if batch.num_rows:
                 out = fn(batch)
                 yield from ([out] if isinstance(out, pa.RecordBatch) else out)
@@ -77,6 +120,16 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int) -> Iterator[pa.R
         first = last
 
 
+def carried_row(docs: DataFrame, carry: bool = True) -> list[Column]:
+    """All columns of docs as one struct `row`, to go through an operator unseen."""
+    return [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
+
+
+def with_row(schema: str, own: DataFrame) -> T.StructType:
+    """A schema with own's `row`, if it has one."""
+    return T.StructType([*T._parse_datatype_string(schema), *[f for f in own.schema if f.name == "row"]])
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column without copies, and rows + 1 offsets into them; null is empty."""
     if column.null_count:

@@ -8,19 +8,17 @@ run itself; once there are `fanout` runs, the same pass writes their merged run
 
 from __future__ import annotations
 
-import gc
 import hashlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType, _parse_datatype_string
 
-from chromalyne.llm.common import Words, delete_path, map_arrow, mix, new_path, slices
+from chromalyne.llm.common import Words, batches_of, carried_row, delete_path, map_arrow, mix, new_path, shuffles_released, slices, with_row
 
 WINDOW = 13
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: Windows of the whole input that one bucket or hit group should have; their numbers grow with the input.
 BUCKET_WINDOWS = 2_000_000
 
@@ -75,9 +73,21 @@ def fingerprints(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.
     return row, whole - words.first[row], mix(a[whole]), (mix(b[whole]) >> np.uint64(48)).astype(np.uint16)
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["kind", "part", "n", "docs", "data"])
+PARTS_ARROW = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("n", pa.int64()), ("docs", pa.binary()), ("data", pa.binary())])
+BATCH_BYTES = 1 << 20
+#: Entries of a run in a row: Parquet looks at the size of a page only after 100 rows.
+RUN_ROW = 1 << 12
+
+
+def _batches(rows: list[tuple]) -> list[pa.RecordBatch]:
+    """Rows as Arrow batches of about BATCH_BYTES."""
+    out, first, size = [], 0, 0
+    for i, row in enumerate(rows):
+        size += len(row[3]) + len(row[4])
+        if size >= BATCH_BYTES or i == len(rows) - 1:
+            out.append(pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows[first : i + 1]), PARTS_ARROW)], schema=PARTS_ARROW))
+            first, size = i + 1, 0
+    return out
 
 
 def _hit_rows(ids: np.ndarray, crcs: np.ndarray, positions: np.ndarray, groups: int) -> list[tuple]:
@@ -124,7 +134,7 @@ def _scatter(window: int, bits: int, groups: int):
                 step = deltas(position[s].astype(np.uint32))
                 data = pack(h[s], check[s], deltas(local.astype(np.uint32)), step)
                 out.append((NEW, int(bucket[own[0]]), len(s), len(used).to_bytes(8, "little") + pack(deltas(ids[used]), crcs[used]), data))
-            yield _batch(out)
+            yield from _batches(out)
 
     return run
 
@@ -167,10 +177,10 @@ def _merge(groups: int, compact: bool):
             h, check = np.concatenate([h, *(x for x, _ in old)]), np.concatenate([check, *(x for _, x in old)])
             order = np.lexsort((check, h))
             h, check = h[order], check[order]
-        for a in range(0, len(h), 1 << 18):
-            s = slice(a, a + (1 << 18))
+        for a in range(0, len(h), RUN_ROW):
+            s = slice(a, a + RUN_ROW)
             out.append((RUN, part, len(h[s]), b"", pack(deltas(h[s]), check[s])))
-        return pa.Table.from_batches([_batch(out)] if out else [], schema=pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("n", pa.int64()), ("docs", pa.binary()), ("data", pa.binary())]))
+        return pa.Table.from_batches(_batches(out), schema=PARTS_ARROW)
 
     return run
 
@@ -211,7 +221,7 @@ class FingerprintIndex:
         """
         compact = len(self.runs) + 1 >= self.fanout
         path = new_path(self.spark, "fingerprints")
-        scattered = map_arrow(docs.select("doc_id", "crc", "text"), _scatter(self.window, self.bits, self.groups), PARTS)
+        scattered = map_arrow(docs.select("doc_id", "crc", "text"), _scatter(self.window, self.bits, self.groups), PARTS, gather=("text", SLICE_BYTES))
         scattered = scattered.unionByName(self._history())
         # hits of the slices pass through the merge untouched, in the bucket of their group's number
         merge = _merge(self.groups, compact)
@@ -223,15 +233,13 @@ class FingerprintIndex:
             return pa.concat_tables([through, merge(rest)]) if rest.num_rows else through
 
         merged = scattered.groupBy("part").applyInArrow(bucket, PARTS)
-        merged.write.partitionBy("kind").parquet(path)
+        with shuffles_released(self.spark), batches_of(self.spark, 32):  # a row has the windows of a slice and bucket
+            merged.write.partitionBy("kind").parquet(path)
         if compact:
             for old in self.runs:
                 delete_path(self.spark, f"{old}/kind={RUN}")
             self.runs = []
         self.runs.append(path)
-        del scattered, merged
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files of this batch
         return path
 
     def _history(self) -> DataFrame:
@@ -271,7 +279,7 @@ def _trim(window: int, carried: bool):
                     kept = b" ".join(stays).decode()
                 out.append((doc, len(words), len(words) - len(stays), kept, hashlib.sha256(b" ".join(stays)).hexdigest()))
             columns = [pa.array(x, k) for x, k in zip(zip(*out), kinds)]
-            yield pa.RecordBatch.from_arrays(columns + [part.column("row")] * carried, ["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"] + ["row"] * carried)
+            yield pa.RecordBatch.from_arrays(columns + ([part.column("row")] if carried else []), ["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"] + ["row"] * carried)
 
     return run
 
@@ -291,8 +299,7 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     come back as a struct column `row`, where names can't clash.
     """
     spark = docs.sparkSession
-    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] * carry
-    own = docs.select(F.col(key).cast("long").alias("doc_id"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("crc"), F.col(text).alias("text"), *row)
+    own = docs.select(F.col(key).cast("long").alias("doc_id"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("crc"), F.col(text).alias("text"), *carried_row(docs, carry))
     keyed = own.where("doc_id is not null")
     size = keyed.agg(F.sum(F.octet_length("text")).alias("size"), F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 10_000).alias("cuts")).first()
     index = FingerprintIndex(spark, (size["size"] or 0) // 6, window, fanout)
@@ -303,5 +310,4 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", w
         paths.append(index.ingest(part if high is None else part.where(F.col("doc_id") <= high)))
     hits = index.hits(paths).withColumnsRenamed({"doc_id": "hit_id", "crc": "hit_crc"})
     joined = own.join(hits, (own["doc_id"] == hits["hit_id"]) & (own["crc"] == hits["hit_crc"]), "left")
-    schema = StructType(list(_parse_datatype_string(TRIMMED)) + [f for f in own.schema if f.name == "row"])
-    return map_arrow(joined.select("doc_id", "text", "hits", *["row"] * carry), _trim(window, carry), schema)
+    return map_arrow(joined.select("doc_id", "text", "hits", *["row"] * carry), _trim(window, carry), with_row(TRIMMED, own))
