@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chromalyne.llm.common import Words, crc_rest, map_arrow, slices, training_sample
+from chromalyne.llm.common import Words, carried_row, crc_rest, map_arrow, slices, training_sample, with_row
 
 SLICE_BYTES = 2 << 20
 PREFIXES = (None, 3, 4, 5, 6, 7)
@@ -261,7 +261,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return train([r["text"] for r in sample], np.array([r["by"] == 1 for r in sample], bool), (rates.get(0, 0) / total, rates.get(1, 0) / total))
 
 
-def _tagged(model):
+def _tagged(model, carried: bool):
     def run(batch: pa.RecordBatch):
         tagger = model.value
         for part in slices(batch, "text", SLICE_BYTES):
@@ -279,19 +279,21 @@ def _tagged(model):
                     spans[d].append({"start": int(words.starts[i]) - at, "end": int(words.stops[j]) - at, "score": float(p[i : j + 1].mean())})
             counts = np.bincount(words.row_of()[hot], minlength=len(score)) if len(hot) else np.zeros(len(score), np.int64)
             span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(score), pa.array(counts.astype(np.int64)), pa.array(expected), pa.array(spans, span)], ["doc_id", "score", "n_toxic_words", "expected_toxic_words", "spans"])
+            columns = [part.column("doc_id"), pa.array(score), pa.array(counts.astype(np.int64)), pa.array(expected), pa.array(spans, span)]
+            yield pa.RecordBatch.from_arrays(columns + ([part.column("row")] if carried else []), ["doc_id", "score", "n_toxic_words", "expected_toxic_words", "spans"] + ["row"] * carried)
 
     return run
 
 
-def tag_toxicity(docs: DataFrame, tagger: Tagger, key: str = "doc_id", text: str = "text") -> DataFrame:
+def tag_toxicity(docs: DataFrame, tagger: Tagger, key: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
     """Score every whole text and give its offending spans.
 
     Returns a row per input row: doc_id, score (0 to 1), n_toxic_words (marginal of 0.5 or more), expected_toxic_words
     and spans (byte offsets in the UTF-8 text, end exclusive, mean marginal). Null and empty texts have no words and get
     the score of a text without evidence. Long texts are tagged whole, in chunks with exact borders. The model (one
-    float32 per slot, 4 MB) is broadcast. Only the key and text are read; an empty table gives no rows.
+    float32 per slot, 4 MB) is broadcast. Only the key and text are read; with `carry`, all input columns come back as a
+    struct column `row`, where names can't clash. An empty table gives no rows.
     """
     model = docs.sparkSession.sparkContext.broadcast(tagger)
-    own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return map_arrow(own, _tagged(model), SCHEMA)
+    own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), *carried_row(docs, carry))
+    return map_arrow(own, _tagged(model, carry), with_row(SCHEMA, own))

@@ -14,14 +14,14 @@ NEAR = near_dedup.NearParams(words=5, numerator=80, denominator=100)
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs whose doc_id is not among ids; rows with a null doc_id stay."""
-    return docs.join(ids.select(F.col("doc_id").alias("__gone")).distinct(), docs["doc_id"] == F.col("__gone"), "left_anti")
+    """docs whose doc_id is not among ids; rows with a null doc_id stay. The ids grow with the input, so they are not broadcast."""
+    return docs.join(ids.select(F.col("doc_id").alias("__gone")).distinct().hint("shuffle_hash"), docs["doc_id"] == F.col("__gone"), "left_anti")
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score of TOXIC_SCORE or more go. The tagger learns from labels of this stage's documents."""
     tagger = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    return _without(docs, toxicity.tag_toxicity(docs, tagger).where(F.col("score") >= TOXIC_SCORE))
+    return toxicity.tag_toxicity(docs, tagger, carry=True).where(F.col("score") < TOXIC_SCORE).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
