@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chromalyne.llm import decontaminate, fingerprint_index, language, media, near_dedup, packing, quality, sharding, toxicity, urls
+from chromalyne.llm import decontaminate, fingerprint_index, language, media, near_dedup, oracles, packing, quality, sharding, toxicity, urls
 from chromalyne.llm.common import crc_rest, table
 
 
@@ -93,4 +93,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_redirect_equivalence": op9_redirect_equivalence,
     "op10_empirical_bayes": op10_empirical_bayes,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_fingerprint_index": oracles.OP5,
+    "op7_bayes_minhash": oracles.OP7,
+    "op9_redirect_equivalence": oracles.op9(RULES),
+}

@@ -1,0 +1,88 @@
+import hashlib
+import random
+import re
+
+import pytest
+
+from chromalyne.llm import fingerprint_index as f
+from helpers import awkward, none, prose
+
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def expected(rows, window=13):
+    first = {}
+    docs = [(i, WORD.findall((t or "").encode())) for i, t in rows]
+    for i, w in docs:
+        for a in range(len(w) - window + 1):
+            key = tuple(w[a : a + window])
+            if i is not None:
+                first[key] = min(first.get(key, i), i)
+    out = []
+    for i, w in docs:
+        gone = set()
+        for a in range(len(w) - window + 1):
+            if i is not None and first[tuple(w[a : a + window])] < i:
+                gone.update(range(a, a + window))
+        kept = [x for n, x in enumerate(w) if n not in gone]
+        out.append((i, len(w), len(gone), hashlib.sha256(b" ".join(kept)).hexdigest()))
+    return sorted(out, key=str)
+
+
+def corpus():
+    r = random.Random(7)
+    passages = [prose(1000 + i, n) for i, n in enumerate((13, 12, 14, 60, 25))]
+    rows = []
+    for i in range(120):
+        parts = [prose(i, r.randrange(0, 40))]
+        for _ in range(r.randrange(3)):
+            parts += [r.choice(passages), prose(9000 + i, r.randrange(0, 9))]
+        rows.append((i * 3, r.choice([" ", "\n", "\t \x0b"]).join(parts)))
+    rows += [(500, rows[3][1]), (501, rows[3][1] + " z"), (2, "é " * 40), (1, "é " * 14), (7, "\u00a0".join(["w"] * 30)), (8, "\x1c ".join("abcdefghijklmnopq")), (9, "\x1c ".join("abcdefghijklmnopq"))]
+    r.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("batches,fanout", [(1, 3), (4, 3), (6, 2), (3, 9)])
+def test_matches_brute_force(spark, batches, fanout):
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = f.dedup_substrings(docs, batches=batches, fanout=fanout).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=str) == expected(rows)
+
+
+def test_awkward_rows(spark):
+    table = awkward(spark)
+    rows = [(r["doc_id"], r["text"]) for r in table.collect()]
+    found = f.dedup_substrings(table, batches=2)
+    got = found.select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=str) == expected(rows)
+    for r in found.collect():
+        assert r["kept_text"] == dict(rows)[r["doc_id"]] if r["doc_id"] is not None and not r["n_removed"] else True
+    carried = f.dedup_substrings(table, carry=True)
+    assert carried.select("row.*").exceptAll(table).count() == 0 and carried.count() == table.count()
+    assert f.dedup_substrings(none(spark)).count() == 0
+
+
+def test_rows_of_one_key_are_not_smaller_than_each_other(spark):
+    a, b = prose(1, 20), prose(2, 20)
+    rows = [(1, a), (5, a), (5, b), (5, b), (6, b)]
+    got = f.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=str) == expected(rows)
+
+
+def test_an_index_grows_batch_by_batch(spark):
+    index = f.FingerprintIndex(spark, 1000, fanout=2)
+    frame = lambda rows: spark.createDataFrame([(i, 0, t) for i, t in rows], "doc_id long, crc long, text string")
+    paths = [index.ingest(frame([(i, prose(i, 30))])) for i in range(4)]
+    assert len(index.runs) == 1
+    paths.append(index.ingest(frame([(9, prose(0, 30)), (10, prose(77, 30)), (11, prose(2, 30))])))
+    assert {r["doc_id"] for r in index.hits(paths).collect()} == {9, 11}
+
+
+def test_planes_round_trip():
+    import numpy as np
+
+    a, b = np.arange(5, dtype=np.uint64) << np.uint64(40), np.array([9, 1, 3, 2, 0], np.uint16)
+    x, y = f.unpack(f.pack(a, b), 5, np.uint64, np.uint16)
+    assert (x == a).all() and (y == b).all() and (f.sums(f.deltas(b)) == b).all()
