@@ -63,12 +63,13 @@ def op9(rules: list[tuple[str, str, str]]) -> str:
 with recursive rules(rh, rp, verdict) as (values {values}),
 target as ({_TARGETS}),
 whole as (select source, case when contains(target, '://') then target when starts_with(target, '//') then 'http:' || target when starts_with(target, '/') then concat('http://', {_host('source')}, target) end target from target),
-link as (select distinct {_address('source')} u, {_address('target')} v from whole),
+link as (select distinct {_address('source')} u, {_address('target')} v, source, target from whole),
 edge as (select u, v from link where u is not null and v is not null union select v, u from link where u is not null and v is not null),
 page as (select page_id, {_host('url')} host, {_path('url')} path, {_address('url')} address, page_id key from pages),
 own as ({ruled('page')}),
-ends as (select distinct u key, {_host("'x://' || u")} host, {_path("'x://' || u")} path from edge),
-blocked as (select key address from ({ruled('ends')}) e where verdict = 'block' union select address from page join own using (key) where verdict = 'block' and address is not null),
+urls as (select source url from link where u is not null and v is not null union select target from link where u is not null and v is not null),
+ends as (select url key, {_host('url')} host, {_path('url')} path from urls),
+blocked as (select {_address('key')} address from ({ruled('ends')}) e where verdict = 'block' union select address from page join own using (key) where verdict = 'block' and address is not null),
 reach as (select address from blocked union select v from reach join edge on u = reach.address)
 select page_id, host, path, rule, coalesce(own.verdict, case when address in (select address from reach) then 'block' end, 'allow') verdict
 from page left join own using (key)"""

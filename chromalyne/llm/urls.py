@@ -44,14 +44,14 @@ def address(url: Column) -> Column:
 
 
 def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(u, v): the addresses of each page and of its canonical link or refresh target. Relative targets keep the page's host."""
+    """(u, v): the url of each page and of its canonical link or refresh target. Relative targets keep the page's host."""
     out = None
     for pattern in LINKS:
         target = F.regexp_extract(F.coalesce(F.col(html), F.lit("")), pattern, 1)
         part = pages.where(F.col(html).rlike(pattern)).select(F.col(url).alias("source"), F.regexp_replace(target, "&amp;", "&").alias("target"))
         out = part if out is None else out.unionByName(part)
     whole = F.when(F.col("target").contains("://"), F.col("target")).when(F.col("target").startswith("//"), F.concat(F.lit("http:"), "target")).when(F.col("target").startswith("/"), F.concat(F.lit("http://"), host_of(F.col("source")), "target"))
-    return out.select(address(F.col("source")).alias("u"), address(whole).alias("v")).where("u is not null and v is not null")
+    return out.select(F.col("source").alias("u"), whole.alias("v"))
 
 
 def judge(urls: DataFrame, rules: DataFrame, key: str = "key") -> DataFrame:
@@ -85,21 +85,21 @@ def filter_urls(pages: DataFrame, rules: DataFrame, edges: DataFrame | None = No
     components meet by joins on addresses and component names, large components by the skew join.
     """
     own = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), address(F.col(url)).alias("address"))
-    links = link_edges(pages, url, html)
+    hops = link_edges(pages, url, html)
     if edges is not None:
-        links = links.unionByName(edges.select(address(F.col("u")).alias("u"), address(F.col("v")).alias("v")).where("u is not null and v is not null"))
-    links = written(links.distinct(), "url-edges")
+        hops = hops.unionByName(edges.select("u", "v"))
+    named = {end: (address(F.col(end)), host_of(F.col(end)), path_of(F.col(end))) for end in "uv"}
+    hops = hops.select(*[c.alias(f"{end}{part}") for end, cells in named.items() for c, part in zip(cells, ("", "_host", "_path"))])
+    links = written(hops.where("u is not null and v is not null").distinct(), "url-edges")
     hosts = own.select("host", "path").distinct().withColumn("key", F.struct("host", "path"))
     ruled = judge(hosts, rules).select(F.col("key.host").alias("rh"), F.col("key.path").alias("rp"), "rule", F.col("verdict").alias("rule_verdict"))
     judged = own.join(ruled, (F.col("host") == F.col("rh")) & (F.col("path") == F.col("rp")), "left").drop("rh", "rp")
-    # every address: pages with their verdicts, and link targets judged by their own host and path
-    ends = links.select(F.col("u").alias("address")).union(links.select(F.col("v").alias("address"))).distinct()
-    shown = F.concat(F.lit("x://"), "address")
-    targets = ends.select(F.col("address").alias("key"), host_of(shown).alias("host"), path_of(shown).alias("path"))
-    # a page's own path keeps its last slash, which a rule may need; its address lost it
-    blocked = judge(targets, rules).where("verdict = 'block'").select(F.col("key").alias("address"))
+    # urls at both ends of a link are judged by their own host and path: an address has lost the last slash, which a rule may need
+    ends = links.select("u", "u_host", "u_path").union(links.select("v", "v_host", "v_path")).toDF("address", "host", "path").distinct()
+    targets = ends.select(F.struct("address", "host", "path").alias("key"), "host", "path")
+    blocked = judge(targets, rules).where("verdict = 'block'").select(F.col("key.address").alias("address"))
     blocked = blocked.union(judged.where("rule_verdict = 'block' and address is not null").select("address")).distinct()
-    groups = written(components(links, "url-groups"), "url-groups")
+    groups = written(components(links.select("u", "v"), "url-groups"), "url-groups")
     bad = blocked.join(groups, F.col("address") == F.col("node"), "left").select(F.coalesce("component", "address").alias("bad")).distinct()
     named = judged.join(groups, F.col("address") == F.col("node"), "left").withColumn("alias_of", F.coalesce("component", "address"))
     out = named.join(bad, F.col("alias_of") == F.col("bad"), "left")

@@ -52,7 +52,7 @@ def test_every_row_gets_a_slot(spark):
 def test_sub_buckets_give_gapless_ranks(spark):
     from chromalyne.llm.common import gapless_rank
 
-    df = spark.range(1000).select((F.col("id") % 3).alias("g"), (F.col("id") // 2).alias("x"))
+    df = spark.range(1000).select((F.col("id") % 3).alias("g"), F.floor(F.col("id") / 2).alias("x"))
     rows = gapless_rank(df, ["g"], ["x"], "rank", rows_a_task=50).collect()
     for g in range(3):
         own = sorted(r["rank"] for r in rows if r["g"] == g)
