@@ -156,6 +156,9 @@ def _merge(groups: int, compact: bool):
                 hs.append(h), checks.append(check), docs.append(sums(ids)[local]), crcs.append(crc[local]), positions.append(sums(step))
         out = []
         h, check = np.zeros(0, np.uint64), np.zeros(0, np.uint16)
+        run_h, run_check = (np.concatenate([x[i] for x in old]) if old else np.zeros(0, (np.uint64, np.uint16)[i]) for i in (0, 1))
+        order = np.argsort(run_h, kind="stable")  # rows of sorted runs: a merge
+        run_h, run_check = run_h[order], run_check[order]
         if hs:
             h, check, doc, crc, position = (np.concatenate(x) for x in (hs, checks, docs, crcs, positions))
             order = np.lexsort((doc, check, h))
@@ -164,17 +167,16 @@ def _merge(groups: int, compact: bool):
             fresh[1:] = (h[1:] != h[:-1]) | (check[1:] != check[:-1])
             heads = np.flatnonzero(fresh)
             known = np.zeros(len(heads), bool)
-            for run_h, run_check in old:
-                first, last = np.searchsorted(run_h, h[heads], "left"), np.searchsorted(run_h, h[heads], "right")
-                for k in range(int((last - first).max(initial=0))):  # over 1 only where 64 bits agree and the check does not
-                    at = np.minimum(first + k, len(run_h) - 1)
-                    known |= (first + k < last) & (run_check[at] == check[heads])
+            first, last = np.searchsorted(run_h, h[heads], "left"), np.searchsorted(run_h, h[heads], "right")
+            for k in range(int((last - first).max(initial=0))):  # over 1 only where 64 bits agree and the check does not
+                at = np.minimum(first + k, len(run_h) - 1)
+                known |= (first + k < last) & (run_check[at] == check[heads])
             which = np.cumsum(fresh) - 1
             hit = known[which] | (doc > doc[heads][which])
             out += _hit_rows(doc[hit], crc[hit], position[hit].astype(np.int64), groups)
             h, check = h[heads[~known]], check[heads[~known]]
         if compact and old:
-            h, check = np.concatenate([h, *(x for x, _ in old)]), np.concatenate([check, *(x for _, x in old)])
+            h, check = np.concatenate([h, run_h]), np.concatenate([check, run_check])
             order = np.lexsort((check, h))
             h, check = h[order], check[order]
         for a in range(0, len(h), RUN_ROW):
