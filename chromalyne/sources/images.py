@@ -59,7 +59,7 @@ def pixels_expr(images: DataFrame, d: int = 3) -> DataFrame:
     """The same with Column functions only; slower, for small images."""
     at = F.col("idx") * d
     value = lambda i: F.conv(F.hex(F.substring(F.col("data"), (at + i + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    places = images.select("frame_id", F.col("image.data").alias("data"), F.explode(F.sequence(F.lit(0), F.col("image.width") * F.col("image.height") - 1)).cast("bigint").alias("idx"))
+    places = images.select("frame_id", F.col("image.data").alias("data"), F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("image.width") * F.col("image.height") - 1).cast("bigint"))).alias("idx"))
     return places.select("frame_id", "idx", *[value(i).alias(f"c{i}") for i in range(d)])
 
 
