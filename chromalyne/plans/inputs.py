@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chromalyne.sources.storage import scratch
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -26,11 +28,14 @@ def px3_unordered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def px3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with idx, the rank under the keys. A global rank needs a total order: rows are range-partitioned, ranked
-    inside partitions, and the counts of earlier partitions are added, so no task sees all rows."""
+    inside partitions, and the counts of earlier partitions are added, so no task sees all rows. The ranged rows are a
+    written table, so that a lost executor can't change which row is in which partition."""
     order = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax"]
     rows = _lineitem_channels(table(spark, sf_dir, "lineitem"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()).persist()
+    path = scratch(spark, "ranged")
+    rows.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()).write.parquet(path)
+    ranged = spark.read.parquet(path)
     counts = ranged.groupBy("part").agg(F.count("*").alias("n"))
     before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     firsts = counts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
