@@ -257,7 +257,7 @@ def training_sample(rows: DataFrame, by: str, most: int, most_bytes: int, key: s
     driver holds at most most * most_bytes bytes per value of `by`.
     """
     small = rows.where(F.col(by).isNotNull() & (F.octet_length(F.col(text)) <= most_bytes)).select(F.col(key).alias("__key"), F.col(by).alias("__by"), F.xxhash64(key).alias("__hash"))
-    bits = 16  # two steps, so that no window sorts a whole class: hash prefixes are counted, then only enough of them are ranked
+    bits = 12  # two steps, so that no window sorts a whole class: hash prefixes are counted, then only enough of them are ranked
     counts = small.groupBy("__by", F.shiftrightunsigned("__hash", 64 - bits).alias("__lead")).agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("__by").orderBy("__lead").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     needed = counts.withColumn("before", before).where(F.col("before") < most).groupBy("__by").agg(F.max("__lead").alias("__last"))

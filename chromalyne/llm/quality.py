@@ -102,7 +102,7 @@ def fit(x: np.ndarray, good: np.ndarray, prior: float) -> Evidence:
     return out
 
 
-def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", a_class: int = 3000, most_bytes: int = 50_000) -> Evidence:
+def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", a_class: int = 2000, most_bytes: int = 50_000) -> Evidence:
     """Evidence from labelled documents whose key is not held out: at most a_class of each label, texts of at most most_bytes.
 
     Held out are keys whose CRC-32 as text leaves 1 modulo 3.
