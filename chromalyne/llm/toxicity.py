@@ -31,10 +31,11 @@ def features(words: Words) -> np.ndarray:
 def label_tokens(slots: np.ndarray, row: np.ndarray, toxic: np.ndarray, kept: np.ndarray) -> np.ndarray:
     """Token labels from document labels.
 
-    A slot is a marker if it is in enough toxic documents (2 %, 4 at least) and in clean ones almost never (a rate below
-    1/50 of that in toxic ones). `kept` leaves one of each group of near copies. Toxic documents that no marker
-    explains add the slots that explain most of them, while those explain at least 3. Words of toxic documents with a
-    marker are labelled 1, all others 0.
+    A slot is a marker if toxic documents have it at ten times the clean ones' rate or more, and that is no chance: the
+    log likelihood ratio of its document counts is 12 or more. `kept` leaves one of each group of near copies. Toxic
+    documents that no marker explains add the slots that explain most of them, as long as a clean slot would hardly be
+    in so many toxic documents alone (chance below exp(-8) each) and they explain 0.5 % of all. Words of toxic
+    documents with a marker are labelled 1, all others 0.
     """
     size = 1 << BITS
     first = np.searchsorted(row, np.arange(len(toxic) + 1))
@@ -45,15 +46,19 @@ def label_tokens(slots: np.ndarray, row: np.ndarray, toxic: np.ndarray, kept: np
     n_pos, n_neg = max(1, int((toxic & kept).sum())), max(1, int((~toxic & kept).sum()))
     pos = np.bincount(slot[toxic[doc]], minlength=size)
     neg = np.bincount(slot[~toxic[doc]], minlength=size)
-    rare = (neg + 0.5) / n_neg < pos / n_pos / 50
-    marker = (pos >= max(4, 0.02 * n_pos)) & rare
+    share = n_pos / (n_pos + n_neg)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = np.where(pos > 0, pos * np.log(pos / (pos + neg) / share), 0.0) + np.where(neg > 0, neg * np.log(neg / (pos + neg) / (1 - share)), 0.0)
+    rare = (neg + 0.5) / n_neg < pos / n_pos / 10
+    marker = (ratio >= 12) & rare
+    least = max(8 / -math.log(share), 0.005 * n_pos)
     while True:
         explained = np.zeros(len(toxic), bool)
         explained[doc[marker[slot]]] = True
         left = toxic[doc] & ~explained[doc]
         gain = np.bincount(slot[left], minlength=size) * (rare | (neg == 0))
         best = int(gain.argmax())
-        if gain[best] < 3:
+        if gain[best] < least:
             break
         marker |= gain == gain[best]
     return (marker[slots].any(1) & toxic[row]).astype(np.int8)
@@ -123,9 +128,9 @@ class Tagger:
     def tag(self, words: Words) -> np.ndarray:
         return marginals(self.unary(features(words)), words.first, words.counts, self.start, self.trans)
 
-    def score(self, expected: np.ndarray, most: np.ndarray) -> np.ndarray:
+    def score(self, expected: np.ndarray, density: np.ndarray) -> np.ndarray:
         a, b, c = self.scale
-        return 1.0 / (1.0 + np.exp(-np.clip(a * np.log1p(expected) + b * most + c, -30, 30)))
+        return 1.0 / (1.0 + np.exp(-np.clip(a * np.log1p(expected) + b * density + c, -30, 30)))
 
 
 def _messages(e: np.ndarray, live: np.ndarray, start: float, a: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
@@ -216,18 +221,15 @@ def train(texts: list[str], toxic: np.ndarray, prior: tuple[float, float], epoch
 
 
 def document_evidence(p: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Expected toxic words and the largest marginal of each document. Marginals below 0.01 are noise of many clean words and count as 0."""
+    """Expected toxic words of each document, and log(1 + those per 200 words): one marked word weighs more in a short
+    text. Marginals below 0.01 are noise of many clean words and count as 0."""
     sums = np.concatenate([[0.0], np.cumsum(np.where(p >= 0.01, p, 0.0))])
     expected = np.maximum(0.0, sums[words.first[1:]] - sums[words.first[:-1]])
-    most = np.zeros(len(words.counts))
-    some = words.counts > 0
-    if some.any():
-        most[some] = np.maximum.reduceat(p, words.first[:-1][some])
-    return expected, most
+    return expected, np.log1p(200.0 * expected / np.maximum(words.counts, 1))
 
 
 def _scale(x: tuple[np.ndarray, np.ndarray], toxic: np.ndarray, prior: tuple[float, float]) -> tuple[float, float, float]:
-    """Logistic regression of the document label on log(1 + expected) and the largest marginal, by Newton steps with a
+    """Logistic regression of the document label on log(1 + expected) and the density, by Newton steps with a
     small penalty; on the first alone where a slope would be negative, so more evidence never lowers a score."""
     weight = np.where(toxic, prior[1] / max(1, toxic.sum()), prior[0] / max(1, (~toxic).sum())) * len(toxic) / sum(prior)
 
@@ -269,8 +271,8 @@ def _tagged(model, carried: bool):
         for part in slices(batch, "text", SLICE_BYTES):
             words = Words(part.column("text"), lower=True)
             p = tagger.tag(words)
-            expected, most = document_evidence(p, words)
-            score = tagger.score(expected, most)
+            expected, density = document_evidence(p, words)
+            score = tagger.score(expected, density)
             hot = np.flatnonzero(p >= 0.5)
             spans: list[list[dict]] = [[] for _ in score]
             if len(hot):
