@@ -13,7 +13,7 @@ from chromalyne.operators.lloyd import KMeansModel, KMeansParams, Prototypes
 from chromalyne.operators.paint import paint
 from chromalyne.plans import analytics, inputs, sql
 from chromalyne.plans.inputs import FRAMES, HIST, PX3, VEC64
-from chromalyne.sources import tables
+from chromalyne.sources import images, tables
 from chromalyne.sources.storage import scratch
 from chromalyne.streaming import video
 
@@ -335,6 +335,15 @@ def frame_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.agg(F.count_distinct("frame_id").alias("frames"), kept.alias("measured"))
 
 
+@query(f"with {FRAMES} select frame_id, count(*) pixels, sum(c0)::bigint s0, sum(c1)::bigint s1, sum(c2)::bigint s2, max(c0) m0 from fr group by frame_id")
+def image_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames written as PNG files, one pixel wide, read back by the image source and taken apart into pixels."""
+    path = scratch(spark, "png")
+    images.write_png(inputs.frames(spark, sf_dir), None, 1, path)
+    px = images.pixels(images.read_images(spark, path))
+    return px.groupBy("frame_id").agg(F.count("*").alias("pixels"), *[F.sum(f"c{i}").alias(f"s{i}") for i in range(3)], F.max("c0").alias("m0"))
+
+
 # analytics over timing tables: events give each weekday (a resolution) and type (a variant) its timings
 
 _KIND = "case event_type {} end".format(" ".join(f"when '{t}' then {i}" for i, t in enumerate(("click", "error", "purchase", "signup", "view"))))

@@ -75,16 +75,18 @@ def frame_count(points: DataFrame) -> DataFrame:
     return points.agg(F.count_distinct("frame_id").alias("frames"))
 
 
-def images_from_pixels(points: DataFrame, height: int, width: int) -> DataFrame:
-    """(frame_id, height, width, depth, data) rebuilt from points; a frame's pixels meet in one task, as its file must."""
+def images_from_pixels(points: DataFrame, height: int | None, width: int) -> DataFrame:
+    """(frame_id, height, width, depth, data) rebuilt from points; a frame's pixels meet in one task, as its file must.
+    Without a height, each frame is as high as its pixels need."""
     names = [c for c in points.columns if c.startswith("c") and c[1:].isdigit()]
 
     def build(table: pa.Table) -> pa.Table:
         order = np.argsort(table.column("idx").to_numpy(), kind="stable")
-        if len(order) != height * width:
-            raise ValueError(f"a frame has {len(order)} pixels, not {height * width}")
+        rows = len(order) // width if height is None else height
+        if len(order) != rows * width:
+            raise ValueError(f"a frame has {len(order)} pixels, not {rows * width}")
         cells = np.column_stack([table.column(c).to_numpy()[order] for c in names]).astype(np.uint8)
-        return pa.table({"frame_id": table.column("frame_id").slice(0, 1), "height": pa.array([height], pa.int32()), "width": pa.array([width], pa.int32()), "depth": pa.array([len(names)], pa.int32()), "data": pa.array([cells.tobytes()], pa.binary())})
+        return pa.table({"frame_id": table.column("frame_id").slice(0, 1), "height": pa.array([rows], pa.int32()), "width": pa.array([width], pa.int32()), "depth": pa.array([len(names)], pa.int32()), "data": pa.array([cells.tobytes()], pa.binary())})
 
     return points.groupBy("frame_id").applyInArrow(build, "frame_id long, height int, width int, depth int, data binary")
 
@@ -92,7 +94,9 @@ def images_from_pixels(points: DataFrame, height: int, width: int) -> DataFrame:
 def _filesystem(path: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
 
 
 class _PngWriter(DataSourceWriter):
@@ -177,6 +181,6 @@ def as_images(frames: DataFrame) -> DataFrame:
     return frames.select(image.alias("image"), "frame_id")
 
 
-def write_png(points: DataFrame, height: int, width: int, path: str, prefix: str = "frame_") -> None:
+def write_png(points: DataFrame, height: int | None, width: int, path: str, prefix: str = "frame_") -> None:
     register(points.sparkSession)
     images_from_pixels(points, height, width).write.format("png_frames").mode("append").option("prefix", prefix).save(path)

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -156,58 +157,107 @@ def showcase(frames: DataFrame, params: KMeansParams, height: int, width: int, p
     return track_stream(frames, params, sink, checkpoint, calibration, draw, painted, first_frame)
 
 
+@dataclass
+class FrameState:
+    """The state of one video on arrays: frames seen, the smallest calibration error, the prototypes to go on from."""
+
+    seen: int = 0
+    best: float = float("inf")
+    now: Prototypes | None = None
+
+    def advance(self, colours: np.ndarray, weights: np.ndarray, params: KMeansParams, calibration: int) -> KMeansModel:
+        """Cluster the next frame. Each video draws from a stream of its own, k * d numbers per calibration frame."""
+        calibrating, d = self.seen < calibration, colours.shape[1]
+        first = self.now
+        if calibrating or first is None:
+            draw = seeding.Rand(0)
+            for _ in range(self.seen * params.k * d):
+                draw()
+            first = seeding.random_colours(params.k, d, draw)
+        model = fit_arrays(colours, weights, first, params)
+        if calibrating:
+            label = labels_array(colours, model.label_prototypes, params.metric, params.minkowski_p)
+            cut = np.sqrt(((colours - np.array(model.prototypes)[label]) ** 2).sum(1).astype(float)).astype(np.float32).astype(np.int64)
+            error = float((cut * cut * weights).sum())
+            if error < self.best:
+                self.best, self.now = error, model.prototypes
+        else:
+            self.now = model.prototypes
+        self.seen += 1
+        return model
+
+
+def _tracked_schema(names: list[str]) -> str:
+    return "video_id long, frame_id long, cid int, iterations int, " + ", ".join(f"{c} int" for c in names)
+
+
 def track_many(points: DataFrame, params: KMeansParams, calibration: int = CALIBRATION_FRAMES) -> DataFrame:
     """(video_id, frame_id, cid, iterations, c0..) of many videos at once: a video is sequential, videos are not.
 
     Colours are counted per video and frame first. A task streams its videos' histograms frame by frame, sorted by the
-    shuffle, and holds one frame at a time. Every video draws from a stream of its own.
+    shuffle, and holds one frame at a time.
     """
     names = channel_names(points)
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.int32()] * len(names)]
     labels = ["video_id", "frame_id", "cid", "iterations", *names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: dict = {}
+        key, cells, state = None, [], FrameState()
 
-        def close(key: tuple[int, int], cells: list[np.ndarray]) -> list[tuple]:
-            if state.get("video") != key[0]:
-                state.clear()
-                state.update(video=key[0], draw=seeding.Rand(0), seen=0, best=None, now=None)
+        def close() -> list[tuple]:
             block = np.concatenate(cells)
-            colours, weights = block[:, :-1], block[:, -1]
-            calibrating = state["seen"] < calibration
-            first = seeding.random_colours(params.k, len(names), state["draw"]) if calibrating or state["now"] is None else state["now"]
-            model = fit_arrays(colours, weights, first, params)
-            if calibrating:
-                label = labels_array(colours, model.label_prototypes, params.metric, params.minkowski_p)
-                d = np.sqrt(((colours - np.array(model.prototypes)[label]) ** 2).sum(1).astype(float)).astype(np.float32).astype(np.int64)
-                error = float((d * d * weights).sum())
-                if state["best"] is None or error < state["best"]:
-                    state["best"], state["now"] = error, model.prototypes
-            else:
-                state["now"] = model.prototypes
-            state["seen"] += 1
+            model = state.advance(block[:, :-1], block[:, -1], params, calibration)
             return [(*key, cid, model.iterations, *q) for cid, q in enumerate(model.prototypes)]
 
-        key, cells = None, []
         for batch in batches:
             ids = np.column_stack([batch.column(c).to_numpy() for c in ("video_id", "frame_id")])
             block = np.column_stack([batch.column(c).to_numpy() for c in (*names, "n")]).astype(np.int64)
-            edges = [0, *(np.flatnonzero((np.diff(ids, axis=0) != 0).any(1)) + 1), len(ids)]
+            edges = [0, *(np.flatnonzero((np.diff(ids, axis=0) != 0).any(1)) + 1).tolist(), len(ids)]
             out = []
             for a, b in zip(edges, edges[1:]):
                 if a == b:
                     continue
-                if key is not None and key != tuple(ids[a]):
-                    out += close(key, cells)
+                now = tuple(ids[a].tolist())
+                if key is not None and key != now:
+                    out += close()
                     cells = []
-                key = tuple(int(x) for x in ids[a])
+                    if key[0] != now[0]:
+                        state = FrameState()
+                key = now
                 cells.append(block[a:b])
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], labels)
         if key is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*close(key, cells)), kinds)], labels)
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*close()), kinds)], labels)
 
     hist = histogram(points, ["video_id", "frame_id"]).drop("first_idx")
     rows = hist.repartition("video_id").sortWithinPartitions("video_id", "frame_id")
-    return rows.mapInArrow(run, "video_id long, frame_id long, cid int, iterations int, " + ", ".join(f"{c} int" for c in names))
+    return rows.mapInArrow(run, _tracked_schema(names))
+
+
+def track_many_stream(points: DataFrame, params: KMeansParams, calibration: int = CALIBRATION_FRAMES) -> DataFrame:
+    """The same over a stream, as a streaming DataFrame: a video's state lives in the state store and survives restarts.
+
+    A micro-batch must hold whole frames, and frames of a video must come in order; inside a batch they are sorted.
+    """
+    names = channel_names(points)
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], store) -> Iterator[pd.DataFrame]:
+        state = FrameState()
+        if store.exists:
+            seen, best, flat = store.get
+            state = FrameState(seen, best, np.array(flat).reshape(params.k, len(names)).tolist() if len(flat) else None)
+        rows = []
+        for frame, own in pd.concat(parts).groupby("frame_id", sort=True):
+            colours, weights = np.unique(own[names].to_numpy(np.int64), axis=0, return_counts=True)
+            model = state.advance(colours, weights, params, calibration)
+            rows += [(key[0], frame, cid, model.iterations, *q) for cid, q in enumerate(model.prototypes)]
+        store.update((state.seen, state.best, [x for q in state.now or [] for x in q]))
+        yield pd.DataFrame(rows, columns=["video_id", "frame_id", "cid", "iterations", *names])
+
+    return points.groupBy("video_id").applyInPandasWithState(step, _tracked_schema(names), "seen int, best double, prototypes array<int>", "append", "NoTimeout")
+
+
+def per_frame_stream(frames: DataFrame, params: KMeansParams, seeds: Callable[[int, int], Prototypes], sink: Callable[[DataFrame], None]):
+    """The writer of a stream whose frames are clustered each by itself; a micro-batch must hold whole frames."""
+    return frames.writeStream.foreachBatch(lambda points, _: sink(per_frame(points, params, seeds)))

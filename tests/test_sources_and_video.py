@@ -115,6 +115,25 @@ def test_stream_equals_batch_and_writes_every_frame(spark, folder, tmp_path):
     assert all(list(c[1:]) in want[c[0]] for c in colours)
 
 
+def test_stateful_streams(spark, tmp_path):
+    clip = movie(7)
+    want = tracked(clip, 3)
+    df = as_points(spark, clip).withColumn("video_id", F.lit(5).cast("long"))
+    both = df.unionByName(df.withColumn("video_id", F.lit(6).cast("long")))
+    for f in range(7):
+        both.where(F.col("frame_id") == f).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(both.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    run = video.track_many_stream(stream, KMeansParams(3), 3).writeStream.format("memory").queryName("tracked").option("checkpointLocation", str(tmp_path / "p")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    for v in (5, 6):
+        assert rows_of(spark.table("tracked").where(F.col("video_id") == v)) == want
+    out, first = [], [[1, 2, 3], [200, 100, 50]]
+    one = video.per_frame_stream(stream.where("video_id = 5"), KMeansParams(2), lambda f, d: first, lambda x: out.extend(x.collect()))
+    one.trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "q")).start().awaitTermination()
+    batch = video.per_frame(df, KMeansParams(2), lambda f, d: first).collect()
+    assert sorted(map(tuple, out)) == sorted(map(tuple, batch))
+
+
 def test_frame_ranges(spark):
     df = spark.range(60).select(F.col("id").alias("frame_id"))
     assert video.measured(df).count() == 30 and video.measured(df, 10).agg(F.min("frame_id")).first()[0] == 15
