@@ -269,7 +269,6 @@ class _Search:
 
     def __init__(self, docs: DataFrame, reps: DataFrame, params: NearParams):
         self.docs, self.reps, self.params = docs, reps, params
-        self.spread = docs.sparkSession.sparkContext.defaultParallelism * 4
 
     def sets(self, ids: DataFrame) -> DataFrame:
         """Full sets of some documents; the hint keeps the list of ids, which grows with the input, from being broadcast."""
@@ -309,9 +308,9 @@ class _Search:
         rows = written(rows.join(mixed, "bucket", "left_semi").join(self.reps.select("rep", "sig"), "rep").select("bucket", "rep", "members", "near", "sig"), "far")
         blocked = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("members") / self.params.block)))
         pack = F.collect_list(F.struct("rep", "sig"))
-        everyone = blocked.groupBy("bucket", "block").agg(pack.alias("all")).select("bucket", "all")
-        outside = blocked.where("near is null").groupBy("bucket", "block").agg(pack.alias("far")).select("bucket", "far")
-        blocks = outside.join(everyone, "bucket").select("far", "all").repartition(self.spread)
+        everyone = blocked.groupBy("bucket", "block").agg(pack.alias("all"))
+        outside = blocked.where("near is null").groupBy("bucket", F.col("block").alias("far_block")).agg(pack.alias("far"))
+        blocks = outside.join(everyone, "bucket").repartition("bucket", "far_block", "block").select("far", "all")
         return written(map_arrow(blocks, _far_blocks(self.params), "a long, b long").distinct(), "survivors")
 
     def across(self, stars: DataFrame, groups: DataFrame) -> DataFrame:
@@ -323,9 +322,9 @@ class _Search:
         rows = written(rows.join(mixed, "a"), "stars")
         blocked = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("members") / self.params.block)))
         pack = F.collect_list(F.struct("rep", "component", "minus", "plus"))
-        everyone = blocked.groupBy("a", "block").agg(pack.alias("all")).select("a", "all")
-        outside = blocked.where("component != pivot_component").groupBy("a", "block", "size_a").agg(pack.alias("out")).select("a", "size_a", "out")
-        blocks = outside.join(everyone, "a").select("size_a", "out", "all").repartition(self.spread)
+        everyone = blocked.groupBy("a", "block").agg(pack.alias("all"))
+        outside = blocked.where("component != pivot_component").groupBy("a", F.col("block").alias("out_block"), "size_a").agg(pack.alias("out"))
+        blocks = outside.join(everyone, "a").repartition("a", "out_block", "block").select("size_a", "out", "all")
         return map_arrow(blocks, _star_blocks(self.params), "u long, v long").distinct()
 
     def links(self) -> DataFrame:
