@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,10 +13,13 @@ _own: list[str] = []
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path under spark.checkpoint.dir; where that is unset (a local session), under a temporary folder."""
+    """A new path under spark.checkpoint.dir; where that is unset (a local session), under a temporary folder that goes with the process."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="chromalyne-"))
+            atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
         shared = _own[0]
     return f"{shared.rstrip('/')}/chromalyne/{tag}-{uuid.uuid4().hex}"
