@@ -39,28 +39,26 @@ def label_tokens(slots: np.ndarray, row: np.ndarray, toxic: np.ndarray, kept: np
     """
     size = 1 << BITS
     first = np.searchsorted(row, np.arange(len(toxic) + 1))
-    own = {i: np.unique(slots[first[i] : first[i + 1]]) for i in np.flatnonzero(kept).tolist()}
-    doc = np.repeat(np.array(list(own), np.int32), [len(x) for x in own.values()])
-    slot = np.concatenate([*own.values(), np.zeros(0, np.int32)])
-    del own
+    seen = lambda i: np.unique(slots[first[i] : first[i + 1]])
+    pos, neg = np.zeros(size, np.int32), np.zeros(size, np.int32)
+    for i in np.flatnonzero(kept).tolist():
+        (pos if toxic[i] else neg)[seen(i)] += 1
     n_pos, n_neg = max(1, int((toxic & kept).sum())), max(1, int((~toxic & kept).sum()))
-    pos = np.bincount(slot[toxic[doc]], minlength=size)
-    neg = np.bincount(slot[~toxic[doc]], minlength=size)
     share = n_pos / (n_pos + n_neg)
     with np.errstate(divide="ignore", invalid="ignore"):
         ratio = np.where(pos > 0, pos * np.log(pos / (pos + neg) / share), 0.0) + np.where(neg > 0, neg * np.log(neg / (pos + neg) / (1 - share)), 0.0)
     rare = (neg + 0.5) / n_neg < pos / n_pos / 10
     marker = (ratio >= 12) & rare
     least = max(8 / -math.log(share), 0.005 * n_pos)
-    while True:
-        explained = np.zeros(len(toxic), bool)
-        explained[doc[marker[slot]]] = True
-        left = toxic[doc] & ~explained[doc]
-        gain = np.bincount(slot[left], minlength=size) * (rare | (neg == 0))
-        best = int(gain.argmax())
-        if gain[best] < least:
+    left = np.flatnonzero(toxic & kept).tolist()
+    while left := [i for i in left if not marker[slots[first[i] : first[i + 1]]].any()]:
+        gain = np.zeros(size, np.int32)
+        for i in left:
+            gain[seen(i)] += 1
+        gain *= rare | (neg == 0)
+        if gain.max() < least:
             break
-        marker |= gain == gain[best]
+        marker |= gain == gain.max()
     return (marker[slots].any(1) & toxic[row]).astype(np.int8)
 
 
@@ -214,9 +212,12 @@ def train(texts: list[str], toxic: np.ndarray, prior: tuple[float, float], epoch
             o2 += go * go
             other += 0.2 * go / np.sqrt(o2)
     tagger = Tagger(w.astype(np.float32), float(other[0]), float(other[1]), np.array([[0.0, other[2]], [other[3], other[4]]]))
-    p = tagger.tag(words)
-    x = document_evidence(p, words)
-    tagger.scale = _scale(x, toxic, prior)
+    del slots, row, words, whole, labels
+    found = []
+    for i in range(0, len(texts), 200):
+        part = Words(pa.array(texts[i : i + 200], pa.large_string()), lower=True)
+        found.append(document_evidence(tagger.tag(part), part))
+    tagger.scale = _scale(tuple(np.concatenate(x) for x in zip(*found)), toxic, prior)
     return tagger
 
 
@@ -252,7 +253,7 @@ def _scale(x: tuple[np.ndarray, np.ndarray], toxic: np.ndarray, prior: tuple[flo
     return float(a), float(b), float(c)
 
 
-def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", a_class: int = 2000, most_bytes: int = 50_000) -> Tagger:
+def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", a_class: int = 1500, most_bytes: int = 50_000) -> Tagger:
     """A Tagger from labelled documents whose key is not held out: at most a_class of each label, texts of at most most_bytes.
 
     Held out are keys whose CRC-32 as text leaves 1 modulo 3. Class rates come from all labels that are not.
