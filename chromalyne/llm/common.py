@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -14,21 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-_own_dir: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="chromalyne-"))
-    return _own_dir[0]
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/chromalyne/{tag}-{uuid.uuid4().hex}"
+from chromalyne.sources.storage import scratch
 
 
 @contextlib.contextmanager
@@ -48,7 +32,7 @@ def shuffles_released(spark: SparkSession) -> Iterator[None]:
 
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a table in the shared folder: lineage ends there and a lost executor costs no recomputation of what came before."""
-    path = new_path(df.sparkSession, tag)
+    path = scratch(df.sparkSession, tag)
     with shuffles_released(df.sparkSession):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

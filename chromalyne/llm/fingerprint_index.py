@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chromalyne.llm.common import Words, batches_of, carried_row, delete_path, map_arrow, mix, new_path, shuffles_released, slices, with_row
+from chromalyne.llm.common import Words, batches_of, carried_row, delete_path, map_arrow, mix, shuffles_released, slices, with_row
+from chromalyne.sources.storage import scratch
 
 WINDOW = 13
 SLICE_BYTES = 4 << 20
@@ -222,7 +223,7 @@ class FingerprintIndex:
         doc_id has too.
         """
         compact = len(self.runs) + 1 >= self.fanout
-        path = new_path(self.spark, "fingerprints")
+        path = scratch(self.spark, "fingerprints")
         scattered = map_arrow(docs.select("doc_id", "crc", "text"), _scatter(self.window, self.bits, self.groups), PARTS, gather=("text", SLICE_BYTES))
         scattered = scattered.unionByName(self._history())
         # hits of the slices pass through the merge untouched, in the bucket of their group's number

@@ -5,7 +5,6 @@ from __future__ import annotations
 import functools
 import hashlib
 import io
-import struct
 import wave
 import zlib
 from math import gcd
