@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -38,6 +39,24 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Temporary:
+    """Written tables that go once what was made from them is written too."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame, tag: str) -> DataFrame:
+        out = written(df, tag)
+        self.paths += [p.rpartition("/")[0] for p in out.inputFiles()[:1]]
+        return out
+
+    def drop(self, last: int = 0) -> None:
+        """Delete the tables, but for the last few."""
+        gone, self.paths = self.paths[: len(self.paths) - last], self.paths[len(self.paths) - last :]
+        for path in gone:
+            delete_path(self.spark, path)
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
@@ -66,6 +85,13 @@ def bound_batches(spark: SparkSession, rows: int = 256) -> None:
         spark.conf.set(name, str(rows))
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: Python workers outlive their tasks, and several may wait idle on an executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # no glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def gathered(batches: Iterator[pa.RecordBatch], column: str, least_bytes: int) -> Iterator[pa.RecordBatch]:
     """The rows of small batches in larger ones, each with about least_bytes of the column's data."""
     waiting, size = [], 0
@@ -88,6 +114,7 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBa
             if batch.num_rows:
                 out = fn(batch)
                 yield from ([out] if isinstance(out, pa.RecordBatch) else out)
+        release_memory()
 
     bound_batches(df.sparkSession)
     return df.mapInArrow(run, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chromalyne.llm.common import written
+from chromalyne.llm.common import Temporary
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -34,10 +34,12 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     a node with very many is split by the skew join. The edges are a written table after each round: there are as many
     rounds as about the logarithm of the longest path. Null ends and loops are left out; an empty table has no nodes.
     """
-    edges = written(edges.where("u is not null and v is not null and u != v").distinct(), tag)
+    tmp = Temporary(edges.sparkSession)
+    edges = tmp.written(edges.where("u is not null and v is not null and u != v").distinct(), tag)
     before = _state(edges)
     while before[0]:
-        edges = written(_small_star(_large_star(edges)), tag)
+        edges = tmp.written(_small_star(_large_star(edges)), tag)
+        tmp.drop(last=1)
         after = _state(edges)
         if after == before:
             break

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chromalyne.llm.common import Words, batches_of, carried_row, delete_path, map_arrow, mix, shuffles_released, slices, with_row
+from chromalyne.llm.common import Words, batches_of, carried_row, delete_path, map_arrow, mix, release_memory, shuffles_released, slices, with_row
 from chromalyne.sources.storage import scratch
 
 WINDOW = 13
@@ -101,7 +101,7 @@ def _hit_rows(ids: np.ndarray, crcs: np.ndarray, positions: np.ndarray, groups:
     out = []
     for own in np.split(np.arange(len(group)), np.flatnonzero(np.diff(group)) + 1):
         s = slice(own[0], own[-1] + 1)
-        out.append((HITS, int(group[own[0]]), len(own), b"", pack(deltas(ids[s]), crcs[s], positions[s].astype(np.uint32))))
+        out.append((HITS, int(group[own[0]]), len(own), b"", pack(deltas(ids[s]), crcs[s], deltas(positions[s].astype(np.uint32)))))
     return out
 
 
@@ -191,7 +191,7 @@ def _merge(groups: int, compact: bool):
 def _spans(table: pa.Table) -> pa.Table:
     """One hit group: the sorted first words of every document's hits."""
     parts = [unpack(data, n, np.int64, np.uint32, np.uint32) for n, data in zip(table.column("n").to_pylist(), table.column("data").to_pylist())]
-    ids, crcs, positions = (np.concatenate(x) for x in zip(*((sums(i), c, p) for i, c, p in parts)))
+    ids, crcs, positions = (np.concatenate(x) for x in zip(*((sums(i), c, sums(p)) for i, c, p in parts)))
     order = np.lexsort((positions, crcs, ids))
     ids, crcs, positions = ids[order], crcs[order], positions[order]
     heads = np.concatenate([[0], np.flatnonzero((np.diff(ids) != 0) | (np.diff(crcs.astype(np.int64)) != 0)) + 1])
@@ -233,18 +233,24 @@ class FingerprintIndex:
             kinds = table.column("kind").to_numpy()
             through = table.filter(pa.array(kinds == HITS))
             rest = table.filter(pa.array(kinds != HITS))
-            return pa.concat_tables([through, merge(rest)]) if rest.num_rows else through
+            out = pa.concat_tables([through, merge(rest)]) if rest.num_rows else through
+            release_memory()
+            return out
 
         merged = scattered.groupBy("part").applyInArrow(bucket, PARTS)
         with shuffles_released(self.spark), batches_of(self.spark, 32):  # a row has the windows of a slice and bucket
             merged.write.partitionBy("kind").parquet(path)
         if compact:
-            for old in self.runs:
-                delete_path(self.spark, f"{old}/kind={RUN}")
-            self.runs = []
+            self.drop()
         self.runs.append(path)
         return path
 
+    def drop(self) -> None:
+        """Delete the runs; tables of hits stay."""
+        for old in self.runs:
+            delete_path(self.spark, f"{old}/kind={RUN}")
+        self.runs = []
+
     def _history(self) -> DataFrame:
         out = self.spark.createDataFrame([], PARTS)
         for path in self.runs:
@@ -311,6 +317,7 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     for low, high in zip([None, *cuts], [*cuts, None]):
         part = keyed if low is None else keyed.where(F.col("doc_id") > low)
         paths.append(index.ingest(part if high is None else part.where(F.col("doc_id") <= high)))
+    index.drop()
     hits = index.hits(paths).withColumnsRenamed({"doc_id": "hit_id", "crc": "hit_crc"})
     joined = own.join(hits, (own["doc_id"] == hits["hit_id"]) & (own["crc"] == hits["hit_crc"]), "left")
     return map_arrow(joined.select("doc_id", "text", "hits", *["row"] * carry), _trim(window, carry), with_row(TRIMMED, own))

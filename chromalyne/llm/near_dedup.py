@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chromalyne.llm.common import Words, map_arrow, mix, shingle_hashes, slices, written
+from chromalyne.llm.common import Temporary, Words, map_arrow, mix, release_memory, shingle_hashes, slices, written
 from chromalyne.llm.components import components
 
 SLICE_BYTES = 2 << 20
@@ -199,6 +199,7 @@ def _confirm(params: NearParams, differences: bool):
             if out:
                 kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], ["a", "b", "linked", "size_a", "minus", "plus"])
+        release_memory()
 
     return run
 
@@ -269,11 +270,12 @@ class _Search:
 
     def __init__(self, docs: DataFrame, reps: DataFrame, params: NearParams):
         self.docs, self.reps, self.params = docs, reps, params
+        self.tmp = Temporary(docs.sparkSession)
 
     def sets(self, ids: DataFrame) -> DataFrame:
         """Full sets of some documents; the hint keeps the list of ids, which grows with the input, from being broadcast."""
         texts = self.docs.select(F.col("doc_id").alias("id"), "text").join(ids.distinct().hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"])
-        return written(map_arrow(texts, _sets(self.params), "id long, shingles binary"), "sets")
+        return self.tmp.written(map_arrow(texts, _sets(self.params), "id long, shingles binary"), "sets")
 
     def confirmed(self, pairs: DataFrame, sets: DataFrame, differences: bool = False) -> DataFrame:
         fan = pairs.groupBy("a").agg(F.ceil(F.count("*") / 64).alias("fan"))
@@ -281,37 +283,37 @@ class _Search:
         heads = salted.select("a", "salt").distinct().join(sets, F.col("a") == F.col("id")).select("a", "salt", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("b"), "shingles")
         tails = salted.join(sets, F.col("b") == F.col("id")).select("a", "salt", F.lit(1).alias("kind"), "b", "shingles")
         rows = heads.unionByName(tails).repartition("a", "salt").sortWithinPartitions("a", "salt", "kind")
-        return written(rows.mapInArrow(_confirm(self.params, differences), CONFIRMED), "confirmed")
+        return self.tmp.written(rows.mapInArrow(_confirm(self.params, differences), CONFIRMED), "confirmed")
 
     def buckets(self) -> DataFrame:
         """(bucket, rep, pivot) of buckets with at least two members."""
         rows = map_arrow(self.reps.select("rep", "sig"), _band_keys(self.params), "bucket long, rep long")
-        rows = written(rows, "bands")
+        rows = self.tmp.written(rows, "bands")
         shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
         rows = rows.join(shared, "bucket")
         weights = rows.groupBy("rep").agg(F.sum("n").alias("weight"))
         rows = rows.select("bucket", "rep").join(weights, "rep")
         best = rows.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"))).alias("best"), F.count("*").alias("members"))
-        return written(rows.select("bucket", "rep").join(best.select("bucket", (-F.col("best.minus")).alias("pivot"), "members"), "bucket"), "buckets")
+        return self.tmp.written(rows.select("bucket", "rep").join(best.select("bucket", (-F.col("best.minus")).alias("pivot"), "members"), "bucket"), "buckets")
 
     def near(self, buckets: DataFrame) -> DataFrame:
         """(a, b): pivots and members that signatures don't rule out."""
         pairs = buckets.where("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
         a, b = (self.reps.select(F.col("rep").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
-        return written(map_arrow(pairs.join(a, "a").join(b, "b").select("a", "b", "sig_a", "sig_b"), _prune(self.params), "a long, b long"), "near")
+        return self.tmp.written(map_arrow(pairs.join(a, "a").join(b, "b").select("a", "b", "sig_a", "sig_b"), _prune(self.params), "a long, b long"), "near")
 
     def far(self, buckets: DataFrame, near: DataFrame) -> DataFrame:
         """(a, b): survivors among the pairs of a far member and any other member but the pivot."""
         known = near.select(F.col("a").alias("pivot"), F.col("b").alias("rep"), F.lit(True).alias("near"))
         rows = buckets.where("members > 2 and rep != pivot").join(known, ["pivot", "rep"], "left")
         mixed = rows.where("near is null").select("bucket").distinct()
-        rows = written(rows.join(mixed, "bucket", "left_semi").join(self.reps.select("rep", "sig"), "rep").select("bucket", "rep", "members", "near", "sig"), "far")
+        rows = self.tmp.written(rows.join(mixed, "bucket", "left_semi").join(self.reps.select("rep", "sig"), "rep").select("bucket", "rep", "members", "near", "sig"), "far")
         blocked = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("members") / self.params.block)))
         pack = F.collect_list(F.struct("rep", "sig"))
         everyone = blocked.groupBy("bucket", "block").agg(pack.alias("all"))
         outside = blocked.where("near is null").groupBy("bucket", F.col("block").alias("far_block")).agg(pack.alias("far"))
         blocks = outside.join(everyone, "bucket").repartition("bucket", "far_block", "block").select("far", "all")
-        return written(map_arrow(blocks, _far_blocks(self.params), "a long, b long").distinct(), "survivors")
+        return self.tmp.written(map_arrow(blocks, _far_blocks(self.params), "a long, b long").distinct(), "survivors")
 
     def across(self, stars: DataFrame, groups: DataFrame) -> DataFrame:
         """(u, v): links between near members of one pivot whose components differ."""
@@ -319,7 +321,7 @@ class _Search:
         rows = stars.join(named.withColumnsRenamed({"node": "b", "own": "component"}), "b", "left").join(named.withColumnsRenamed({"node": "a", "own": "pivot_component"}), "a", "left")
         rows = rows.select("a", "size_a", "minus", "plus", F.col("b").alias("rep"), F.coalesce("component", "b").alias("component"), F.coalesce("pivot_component", "a").alias("pivot_component"))
         mixed = rows.groupBy("a").agg(F.count("*").alias("members"), F.count(F.when(F.col("component") != F.col("pivot_component"), 1)).alias("outside")).where("outside > 0 and members > 1")
-        rows = written(rows.join(mixed, "a"), "stars")
+        rows = self.tmp.written(rows.join(mixed, "a"), "stars")
         blocked = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("members") / self.params.block)))
         pack = F.collect_list(F.struct("rep", "component", "minus", "plus"))
         everyone = blocked.groupBy("a", "block").agg(pack.alias("all"))
@@ -336,7 +338,7 @@ class _Search:
         stars = self.confirmed(near, sets, differences=True)
         rest = self.confirmed(far, sets)
         found = stars.unionByName(rest).where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-        groups = written(components(found), "groups")
+        groups = self.tmp.written(components(found), "groups")
         return found.unionByName(self.across(stars.drop("linked"), groups))
 
 
@@ -359,7 +361,9 @@ def near_duplicates(docs: DataFrame, params: NearParams = NearParams(), key: str
     full = sketched.where("n_shingles > 0 and doc_id is not null")
     same = ["n_shingles", "d1", "d2"]
     reps = written(full.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "reps")
-    links = written(_Search(own.where("doc_id is not null"), reps.select("rep", "sig"), params).links(), "links")
+    search = _Search(own.where("doc_id is not null"), reps.select("rep", "sig"), params)
+    links = written(search.links(), "links")
+    search.tmp.drop()
     groups = components(links)
     joined = sketched.join(reps.select(*same, "rep"), same, "left")
     joined = joined.join(groups, joined["rep"] == groups["node"], "left")
