@@ -19,9 +19,9 @@ from chromalyne.llm.common import Words, batches_of, carried_row, delete_path, m
 from chromalyne.sources.storage import scratch
 
 WINDOW = 13
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Windows of the whole input that one bucket or hit group should have; their numbers grow with the input.
-BUCKET_WINDOWS = 2_000_000
+BUCKET_WINDOWS = 1_000_000
 
 PARTS = "kind int, part int, n long, docs binary, data binary"
 HITS, NEW, RUN = 0, 1, 2
@@ -206,7 +206,7 @@ class FingerprintIndex:
     task at any input size; give the windows the index should hold in the end.
     """
 
-    def __init__(self, spark: SparkSession, expected_windows: int, window: int = WINDOW, fanout: int = 3):
+    def __init__(self, spark: SparkSession, expected_windows: int, window: int = WINDOW, fanout: int = 4):
         wanted = max(64, -(-expected_windows // BUCKET_WINDOWS))
         self.spark, self.window, self.fanout = spark, window, fanout
         self.bits = (wanted - 1).bit_length()
@@ -296,7 +296,7 @@ def _trim(window: int, carried: bool):
 TRIMMED = "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string"
 
 
-def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, batches: int = 4, fanout: int = 3, carry: bool = False) -> DataFrame:
+def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, batches: int = 6, fanout: int = 4, carry: bool = False) -> DataFrame:
     """Remove every word that a window of `window` words covers whose words also start in a document with a smaller key.
 
     docs go through a FingerprintIndex in `batches` batches of ascending keys. Windows are judged on the input. Returns
