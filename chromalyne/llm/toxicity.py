@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chromalyne.llm.common import Words, carried_row, crc_rest, map_arrow, slices, training_sample, with_row
+from chromalyne.llm.common import Words, carried_row, crc_rest, map_arrow, release_memory, slices, training_sample, with_row
 
 SLICE_BYTES = 2 << 20
 PREFIXES = (None, 3, 4, 5, 6, 7)
@@ -253,7 +253,7 @@ def _scale(x: tuple[np.ndarray, np.ndarray], toxic: np.ndarray, prior: tuple[flo
     return float(a), float(b), float(c)
 
 
-def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", a_class: int = 1500, most_bytes: int = 50_000) -> Tagger:
+def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", a_class: int = 1000, most_bytes: int = 50_000) -> Tagger:
     """A Tagger from labelled documents whose key is not held out: at most a_class of each label, texts of at most most_bytes.
 
     Held out are keys whose CRC-32 as text leaves 1 modulo 3. Class rates come from all labels that are not.
@@ -263,7 +263,10 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     rows = docs.select(F.col(key).alias("__id"), F.col(text).alias("__text")).join(marks, "__id")
     sample = training_sample(rows, "__y", a_class, most_bytes, "__id", "__text")
     total = max(1, sum(rates.values()))
-    return train([r["text"] for r in sample], np.array([r["by"] == 1 for r in sample], bool), (rates.get(0, 0) / total, rates.get(1, 0) / total))
+    tagger = train([r["text"] for r in sample], np.array([r["by"] == 1 for r in sample], bool), (rates.get(0, 0) / total, rates.get(1, 0) / total))
+    del sample
+    release_memory()
+    return tagger
 
 
 def _tagged(model, carried: bool):
