@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 #: The masks. A 1 is a word that the seed hashes, a 0 a word it ignores.
 MASKS = ("11011011", "1110100101")
 MIN_WORDS = 13
-IDENTITY = 0.8
-#: A mismatch costs as much as this many matches earn: a segment may hold a quarter of mismatches at most.
+#: Of every IDENTITY_OF words of a stretch at least IDENTITY_EQUAL are equal.
+IDENTITY_EQUAL, IDENTITY_OF = 4, 5
+IDENTITY = IDENTITY_EQUAL / IDENTITY_OF
+#: What a mismatch costs the best-scoring segment that tests compare with; `overlaps` goes by IDENTITY alone.
 PENALTY = 3
 #: Benchmark seeds that are broadcast at most (a seed row is about 0.5 KB with its item's words).
 BROADCAST_SEEDS = 200_000
@@ -43,37 +45,42 @@ def _all_seeds(hashes: Column) -> Column:
     return F.concat(*[seeds(hashes, m) for m in MASKS])
 
 
-def _best_segment(equal: Column) -> Column:
-    """Of a row of booleans the segment with the best score (matches less PENALTY a mismatch): its matches, first place and length."""
-    start = F.expr("named_struct('i', 0, 'cur', 0, 'hit', 0, 'from', 0, 'best', 0, 'matches', 0, 'first', 0, 'length', 0)")
+def _longest_stretch(at: Column) -> Column:
+    """Of the ascending places of equal words the stretch from one to another with most of them, IDENTITY or more of its words equal: matches, first place and length.
 
-    def step(s: Column, x: Column) -> Column:
-        cur = s["cur"] + F.when(x, 1).otherwise(-PENALTY)
-        lives = cur > 0
-        hit = s["hit"] + F.when(x, 1).otherwise(0)
-        better = cur > s["best"]
+    A stretch from the a-th to the b-th equal word is similar enough if u[b] >= u[a] - (IDENTITY_OF - IDENTITY_EQUAL),
+    where u[i] = IDENTITY_OF * i - IDENTITY_EQUAL * at[i]. In the order of u, the best partner of an end is the smallest a so far.
+    """
+    u = lambda x, i: IDENTITY_OF * i - IDENTITY_EQUAL * x
+    firsts = F.transform(at, lambda x, i: F.struct((u(x, i) - (IDENTITY_OF - IDENTITY_EQUAL)).alias("u"), F.lit(0).alias("end"), i.alias("i")))
+    lasts = F.transform(at, lambda x, i: F.struct(u(x, i).alias("u"), F.lit(1).alias("end"), i.alias("i")))
+    start = F.expr("named_struct('from', 2147483647, 'matches', 0, 'first', 0)")
+
+    def step(s: Column, e: Column) -> Column:
+        matches = e["i"] - s["from"] + 1
+        better = (e["end"] == 1) & (matches > s["matches"])
         return F.struct(
-            (s["i"] + 1).alias("i"),
-            F.when(lives, cur).otherwise(0).alias("cur"),
-            F.when(lives, hit).otherwise(0).alias("hit"),
-            F.when(lives, s["from"]).otherwise(s["i"] + 1).alias("from"),
-            F.when(better, cur).otherwise(s["best"]).alias("best"),
-            F.when(better, hit).otherwise(s["matches"]).alias("matches"),
+            F.when(e["end"] == 0, F.least(s["from"], e["i"])).otherwise(s["from"]).alias("from"),
+            F.when(better, matches).otherwise(s["matches"]).alias("matches"),
             F.when(better, s["from"]).otherwise(s["first"]).alias("first"),
-            F.when(better, s["i"] + 1 - s["from"]).otherwise(s["length"]).alias("length"),
         )
 
-    return F.aggregate(equal, start, step)
+    def places(s: Column) -> Column:
+        first = F.get(at, s["first"])
+        return F.struct(s["matches"].alias("matches"), first.alias("first"), (F.get(at, s["first"] + s["matches"] - 1) - first + 1).alias("length"))
+
+    return F.aggregate(F.sort_array(F.concat(firsts, lasts)), start, step, places)
 
 
 def _verified(rows: DataFrame) -> DataFrame:
     """rows (doc_id, h, item_id, items_h, shift): the overlaps along the shift that hold enough equal words."""
     from_doc, from_item = F.greatest("shift", F.lit(0)), F.greatest(-F.col("shift"), F.lit(0))
     length = F.least(F.size("h") - from_doc, F.size("items_h") - from_item)
-    equal = F.zip_with(F.slice("h", from_doc + 1, length), F.slice("items_h", from_item + 1, length), lambda a, b: a == b)
-    found = rows.withColumn("s", _best_segment(equal))
+    equal = F.filter(F.sequence(F.lit(0), F.greatest(length, F.lit(1)) - 1), lambda i: F.get("h", from_doc + i) == F.get("items_h", from_item + i))
     needed = F.least(F.lit(MIN_WORDS), F.ceil(F.size("items_h") * F.lit(IDENTITY)))
-    return found.where(F.col("s.matches") >= needed).select(
+    # many seeds hit along one shift: it is looked at once, and not at all without enough equal words
+    found = rows.select("doc_id", "item_id", "shift", needed.alias("needed"), equal.alias("at")).where(F.size("at") >= F.col("needed")).distinct()
+    return found.withColumn("s", _longest_stretch(F.col("at"))).where(F.col("s.matches") >= F.col("needed")).select(
         "doc_id", "item_id",
         F.struct(
             F.col("s.matches").cast("long").alias("matches"), F.col("s.length").cast("long").alias("length"),
@@ -86,9 +93,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
     """Documents that share a passage with a benchmark item, up to substituted words.
 
     Words are lower-cased runs of letters and digits. Seeds under MASKS of every place of the documents and the items
-    are joined; along each hit's shift the words of both are compared, and the best segment counts if it has at least
-    MIN_WORDS equal words (of items with fewer than 17 words, IDENTITY of the item's words). Returns a row per document
-    and item that overlap: doc_id, item_id, matches, length (of the aligned segment), doc_start and item_start (words).
+    are joined; along each hit's shift the words of both are compared, and the longest stretch of which IDENTITY or more
+    are equal counts if it has at least MIN_WORDS equal words (of items with fewer than 17 words, IDENTITY of the item's
+    words). Returns a row per document and item that overlap: doc_id, item_id, matches, length (of the stretch, from its
+    first to its last equal word), doc_start and item_start (words).
 
     Seeds of the items are broadcast only where they are counted to be at most BROADCAST_SEEDS; beyond that, seeds of
     both sides are shuffled and the documents' words are joined again to the few hits. Null and empty texts and items

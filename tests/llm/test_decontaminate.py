@@ -91,3 +91,44 @@ def test_empty_tables(spark):
 def test_no_python_in_the_plan(spark):
     plan = d.overlaps(docs(spark), bench(spark, ITEMS))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def longest_similar(x, y):
+    """Every shift that a seed hits, every stretch of which four fifths or more are equal: the most equal words."""
+    found = 0
+    for shift in range(-len(y) + 1, len(x)):
+        same = [x[i] == y[i - shift] for i in range(max(0, shift), min(len(x), shift + len(y)))]
+        hit = any(all(same[p + i] for i, bit in enumerate(m) if bit == "1") for m in d.MASKS for p in range(len(same) - len(m) + 1))
+        for i in range(len(same) if hit else 0):
+            for j in range(i + 1, len(same) + 1):
+                if 5 * sum(same[i:j]) >= 4 * (j - i):
+                    found = max(found, sum(same[i:j]))
+    return found
+
+
+@pytest.mark.parametrize("most", [d.BROADCAST_SEEDS, 0])
+def test_substituted_words_hide_no_overlap(spark, monkeypatch, most):
+    import math
+
+    monkeypatch.setattr(d, "BROADCAST_SEEDS", most)
+    r = random.Random(11)
+    items = [prose(600 + i, n) for i, n in enumerate((15, 16, 15, 17, 24, 33, 40))]
+    texts = [altered(items[0], (3,)), altered(items[1], (3,))]
+    for i in range(140):
+        item = items[i % len(items)]
+        n = len(item.split())
+        changed = altered(item, r.sample(range(n), r.randrange(n // 3)))
+        texts.append(" ".join([prose(7000 + i, r.randrange(1, 9)), changed, prose(8000 + i, r.randrange(1, 9))]) if i % 3 else changed)
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = set()
+    for i, text in enumerate(texts):
+        for k, item in enumerate(items):
+            n = longest_similar(text.split(), item.split())
+            if n >= min(d.MIN_WORDS, math.ceil(len(item.split()) * d.IDENTITY)):
+                want.add((i, k, n))
+    rows = d.overlaps(table, bench(spark, items)).collect()
+    assert {(x["doc_id"], x["item_id"], x["matches"]) for x in rows} == want and {(0, 0, 14), (1, 1, 15)} <= want
+    for x in rows:
+        a = texts[x["doc_id"]].split()[x["doc_start"] :][: x["length"]]
+        b = items[x["item_id"]].split()[x["item_start"] :][: x["length"]]
+        assert sum(u == v for u, v in zip(a, b, strict=True)) == x["matches"] and 5 * x["matches"] >= 4 * x["length"] and a[0] == b[0] and a[-1] == b[-1]
