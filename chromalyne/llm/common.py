@@ -261,11 +261,10 @@ def gapless_rank(df: DataFrame, group: list[str], order: list[str], out: str, ro
     return joined.select(*df.columns, F.col(out).cast("long").alias(out))
 
 
-def training_sample(rows: DataFrame, by: str, most: int, most_bytes: int, key: str = "doc_id", text: str = "text") -> list:
-    """At most `most` rows for each value of `by`, the first by a hash of the key, as driver rows (key, text, by).
+def training_rows(rows: DataFrame, by: str, most: int, most_bytes: int, key: str = "doc_id", text: str = "text") -> DataFrame | None:
+    """At most `most` rows for each value of `by`, the first by a hash of the key: (key, text, by, place), or None without any.
 
-    The bound is the caller's documented parameter; texts over most_bytes (UTF-8) are not used for training, so the
-    driver holds at most most * most_bytes bytes per value of `by`.
+    The bound is the caller's documented parameter; texts over most_bytes (UTF-8) are not used for training.
     """
     small = rows.where(F.col(by).isNotNull() & (F.octet_length(F.col(text)) <= most_bytes)).select(F.col(key).alias("__key"), F.col(by).alias("__by"), F.xxhash64(key).alias("__hash"))
     bits = 12  # two steps, so that no window sorts a whole class: hash prefixes are counted, then only enough of them are ranked
@@ -274,13 +273,19 @@ def training_sample(rows: DataFrame, by: str, most: int, most_bytes: int, key: s
     needed = counts.withColumn("before", before).where(F.col("before") < most).groupBy("__by").agg(F.max("__lead").alias("__last"))
     lasts = {r["__by"]: r["__last"] for r in needed.collect()}
     if not lasts:
-        return []
+        return None
     within = F.lit(False)
     for value, last in lasts.items():
         within = within | ((F.col(by) == F.lit(value)) & (F.shiftrightunsigned(F.xxhash64(key), 64 - bits) <= last))
     found = rows.where(within & (F.octet_length(F.col(text)) <= most_bytes)).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(by).alias("by"), F.xxhash64(key).alias("hash"))
     top = Window.partitionBy("by").orderBy(F.shiftrightunsigned("hash", 64 - bits), "hash", "key")
-    return found.withColumn("place", F.row_number().over(top)).where(F.col("place") <= most).orderBy("by", "place").select("key", "text", "by").collect()
+    return found.withColumn("place", F.row_number().over(top)).where(F.col("place") <= most).select("key", "text", "by", "place")
+
+
+def training_sample(rows: DataFrame, by: str, most: int, most_bytes: int, key: str = "doc_id", text: str = "text") -> list:
+    """`training_rows` as driver rows (key, text, by): the driver holds at most most * most_bytes bytes per value of `by`."""
+    found = training_rows(rows, by, most, most_bytes, key, text)
+    return [] if found is None else found.orderBy("by", "place").select("key", "text", "by").collect()
 
 
 def crc_rest(column: str, n: int) -> Column:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,12 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chromalyne.llm.common import Words, carried_row, crc_rest, map_arrow, release_memory, slices, training_sample, with_row
+from chromalyne.llm.common import Words, bound_batches, carried_row, crc_rest, map_arrow, release_memory, slices, training_rows, with_row
 
 SLICE_BYTES = 2 << 20
 PREFIXES = (None, 3, 4, 5, 6, 7)
 BITS = 20
 CHUNK = 256
+#: Texts whose words are looked up at once in training.
+PIECE = 200
 SCHEMA = "doc_id long, score double, n_toxic_words long, expected_toxic_words double, spans array<struct<start: long, end: long, score: double>>"
 
 
@@ -169,18 +173,22 @@ def train(texts: list[str], toxic: np.ndarray, prior: tuple[float, float], epoch
     if len(texts) == 0 or not toxic.any() or toxic.all():
         tagger.scale = (0.0, 0.0, math.log(max(prior[1], 1e-3) / max(prior[0], 1e-3)))
         return tagger
-    words = Words(pa.array(texts, pa.large_string()), lower=True)
-    slots, row = features(words), words.row_of()
-    whole = words.hashes()
+    found = []
+    for i in range(0, len(texts), PIECE):
+        words = Words(pa.array(texts[i : i + PIECE], pa.large_string()), lower=True)
+        found.append((features(words), words.hashes(), words.counts))
+    slots, whole, counts = (np.concatenate(x) for x in zip(*found))
+    row, first_word = np.repeat(np.arange(len(counts)), counts), np.concatenate([[0], np.cumsum(counts)])
+    del found, words
     least: dict[int, int] = {}
     kept = np.zeros(len(texts), bool)
     for i in range(len(texts)):
-        own = whole[words.first[i] : words.first[i + 1]]
+        own = whole[first_word[i] : first_word[i + 1]]
         mark = int(own.min()) if len(own) < 40 else int((own[:-2] * np.uint64(3) + own[1:-1] * np.uint64(5) + own[2:]).min()) if len(own) else -1
         kept[i] = least.setdefault(mark, i) == i
     labels = label_tokens(slots, row, toxic, kept)
     starts, sizes = [], []
-    for first, count in zip(words.first.tolist(), words.counts.tolist()):
+    for first, count in zip(first_word.tolist(), counts.tolist()):
         for at in range(0, count, length):
             starts.append(first + at), sizes.append(min(length, count - at))
     starts, sizes = np.array(starts, np.int64), np.array(sizes, np.int64)
@@ -212,10 +220,10 @@ def train(texts: list[str], toxic: np.ndarray, prior: tuple[float, float], epoch
             o2 += go * go
             other += 0.2 * go / np.sqrt(o2)
     tagger = Tagger(w.astype(np.float32), float(other[0]), float(other[1]), np.array([[0.0, other[2]], [other[3], other[4]]]))
-    del slots, row, words, whole, labels
+    del slots, row, whole, labels
     found = []
-    for i in range(0, len(texts), 200):
-        part = Words(pa.array(texts[i : i + 200], pa.large_string()), lower=True)
+    for i in range(0, len(texts), PIECE):
+        part = Words(pa.array(texts[i : i + PIECE], pa.large_string()), lower=True)
         found.append(document_evidence(tagger.tag(part), part))
     tagger.scale = _scale(tuple(np.concatenate(x) for x in zip(*found)), toxic, prior)
     return tagger
@@ -253,20 +261,29 @@ def _scale(x: tuple[np.ndarray, np.ndarray], toxic: np.ndarray, prior: tuple[flo
     return float(a), float(b), float(c)
 
 
-def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", a_class: int = 1000, most_bytes: int = 50_000) -> Tagger:
+def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", a_class: int = 3000, most_bytes: int = 50_000) -> Tagger:
     """A Tagger from labelled documents whose key is not held out: at most a_class of each label, texts of at most most_bytes.
 
-    Held out are keys whose CRC-32 as text leaves 1 modulo 3. Class rates come from all labels that are not.
+    Held out are keys whose CRC-32 as text leaves 1 modulo 3. Class rates come from all labels that are not. One task
+    holds the sample and fits; the driver gets the Tagger alone.
     """
     marks = labels.where((crc_rest(key, 3) != 1) & F.col(label).isin(0, 1)).select(F.col(key).alias("__id"), F.col(label).cast("int").alias("__y")).dropDuplicates(["__id"])
     rates = {r["__y"]: r["n"] for r in marks.groupBy("__y").agg(F.count("*").alias("n")).collect()}
     rows = docs.select(F.col(key).alias("__id"), F.col(text).alias("__text")).join(marks, "__id")
-    sample = training_sample(rows, "__y", a_class, most_bytes, "__id", "__text")
+    sample = training_rows(rows, "__y", a_class, most_bytes, "__id", "__text")
     total = max(1, sum(rates.values()))
-    tagger = train([r["text"] for r in sample], np.array([r["by"] == 1 for r in sample], bool), (rates.get(0, 0) / total, rates.get(1, 0) / total))
-    del sample
-    release_memory()
-    return tagger
+    prior = (rates.get(0, 0) / total, rates.get(1, 0) / total)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = sorted((by, place, text) for b in batches for by, place, text in zip(*(b.column(c).to_pylist() for c in ("by", "place", "text"))))
+        tagger = train([r[2] for r in held], np.array([r[0] == 1 for r in held], bool), prior)
+        del held
+        release_memory()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(tagger)], pa.binary())], ["tagger"])
+
+    bound_batches(docs.sparkSession)
+    found = [] if sample is None else sample.select("by", "place", "text").repartition(1).mapInArrow(fit, "tagger binary").collect()
+    return pickle.loads(found[0]["tagger"]) if found else train([], np.zeros(0, bool), prior)
 
 
 def _tagged(model, carried: bool):

@@ -1,5 +1,6 @@
 import itertools
 import math
+import os
 
 import numpy as np
 import pyarrow as pa
@@ -99,3 +100,24 @@ def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(0, "a b")], "doc_id long, text string")
     labels = spark.createDataFrame([(0, None, 0), (1, 0, None)], "doc_id long, quality int, toxic int")
     assert toxicity.tag_toxicity(docs, toxicity.learn(docs, labels)).first()["score"] < 0.1
+
+
+def test_rare_words_of_a_large_sample_are_learnt_outside_the_driver(spark, monkeypatch):
+    real, driver = toxicity.train, os.getpid()
+
+    def elsewhere(*given):
+        assert os.getpid() != driver
+        return real(*given)
+
+    monkeypatch.setattr(toxicity, "train", elsewhere)
+    rows = []
+    for i in range(7200):
+        words = prose(20_000 + i, 45).split()
+        if i % 2:
+            words[7] = "quorvex" if i % 180 == 1 else BAD[i % 3]
+        rows.append((i, " ".join(words), i % 2))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], 1, r[2]) for r in rows], "doc_id long, quality int, toxic int")
+    tagger = toxicity.learn(docs, labels)
+    found = toxicity.tag_toxicity(docs.where("text like '%quorvex%'"), tagger).collect()
+    assert len(found) == 40 and all(r["n_toxic_words"] == 1 for r in found)
