@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import pickle
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,25 +19,40 @@ from pyspark.sql import Window
 from chromalyne.sources.storage import scratch
 
 
-@contextlib.contextmanager
-def shuffles_released(spark: SparkSession) -> Iterator[None]:
-    """Spark drops the shuffle files of what runs inside as soon as it has ended, not when the driver next collects garbage.
+#: Rows of texts in an Arrow batch of a written step at most; elsewhere Spark's own bound of 64 MB a batch holds.
+TEXT_ROWS = 256
 
-    For writes of tables whose inputs are not read again; a later reader of such a shuffle would compute it again.
-    """
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+@contextlib.contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A session setting for what is planned and run inside; afterwards it is as before."""
     before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
+def shuffles_released(spark: SparkSession):
+    """Spark drops the shuffle files of what runs inside as soon as it has ended, not when the driver next collects garbage.
+
+    For writes of tables whose inputs are not read again; a later reader of such a shuffle would compute it again.
+    """
+    return setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
+def batches_of(spark: SparkSession, rows: int = TEXT_ROWS):
+    """Arrow batches of at most so many rows for what is planned and run inside."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, None) or 10_000)
+    return setting(spark, name, str(min(rows, now) if now > 0 else rows))
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a table in the shared folder: lineage ends there and a lost executor costs no recomputation of what came before."""
     path = scratch(df.sparkSession, tag)
-    with shuffles_released(df.sparkSession):
+    with shuffles_released(df.sparkSession), batches_of(df.sparkSession):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -66,25 +84,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@contextlib.contextmanager
-def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Arrow batches of at most so many rows for what is planned and run inside."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
-def bound_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Texts are far wider than usual rows: fewer of them in an Arrow batch keep the buffers of JVM and Python workers small."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= rows:
-        spark.conf.set(name, str(rows))
-
-
 def release_memory() -> None:
     """Give freed memory back to the system: Python workers outlive their tasks, and several may wait idle on an executor."""
     pa.default_memory_pool().release_unused()
@@ -116,7 +115,6 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBa
                 yield from ([out] if isinstance(out, pa.RecordBatch) else out)
         release_memory()
 
-    bound_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
@@ -227,16 +225,49 @@ class Words:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
 
+#: The key of the words' hash.
+_WORD_KEY = "chromalyne words"
+
+
+class Tokens:
+    """The words `[^\\x20\\x09-\\x0D]+` of a column, told apart by their bytes: `words` are the distinct ones, `ids` says which
+    follow each other, `first` where each row's begin."""
+
+    def __init__(self, column: pa.Array, lower: bool = False):
+        text = (column.fill_null("") if column.null_count else column).cast(pa.large_string())
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(text) if lower else text)
+        sizes, flat = pc.list_value_length(lists).to_numpy(), lists.flatten()
+        full = pc.greater(pc.binary_length(flat), 0)
+        counts = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[full.to_numpy(zero_copy_only=False)], minlength=len(sizes)) if len(flat) else np.zeros(len(sizes), np.int64)
+        coded = flat.filter(full).dictionary_encode()
+        self.ids, self.words = coded.indices.to_numpy(), coded.dictionary
+        self.counts, self.first = counts, np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+
+    def hashes(self) -> np.ndarray:
+        """A keyed 64-bit hash (SipHash) of every word."""
+        if not len(self.words):
+            return np.zeros(0, np.uint64)
+        return pd.util.hash_array(self.words.to_numpy(zero_copy_only=False), hash_key=_WORD_KEY, categorize=False)[self.ids]
+
+    def row_of(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.counts)), self.counts)
+
+
+def split_words(text: str | None, lower: bool = False) -> list[bytes]:
+    """The same words of one text."""
+    raw = (text or "").encode()
+    return (raw.lower() if lower else raw).split()
+
+
 def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of every n consecutive words of the whole array; callers leave out those that cross rows."""
+    """Hashes of every n consecutive words of the whole array, mixed word by word; callers leave out those that cross rows."""
     if len(words) < n:
         return np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
-        out = np.zeros(len(words) - n + 1, np.uint64)
+        out = np.full(len(words) - n + 1, n, np.uint64)
         for i in range(n):
-            out *= np.uint64(0xD6E8FEB86659FD93)
-            out += words[i : len(words) - n + 1 + i]
-        return mix(out)
+            out = mix((out ^ words[i : len(words) - n + 1 + i]) + np.uint64(0x9E3779B97F4A7C15))
+        return out
 
 
 def gapless_rank(df: DataFrame, group: list[str], order: list[str], out: str, rows_a_task: int = 200_000) -> DataFrame:
@@ -261,31 +292,53 @@ def gapless_rank(df: DataFrame, group: list[str], order: list[str], out: str, ro
     return joined.select(*df.columns, F.col(out).cast("long").alias(out))
 
 
-def training_rows(rows: DataFrame, by: str, most: int, most_bytes: int, key: str = "doc_id", text: str = "text") -> DataFrame | None:
-    """At most `most` rows for each value of `by`, the first by a hash of the key: (key, text, by, place), or None without any.
+def training_rows(rows: DataFrame, by: str, most: int, most_bytes: int, key: str = "doc_id", text: str = "text", most_classes: int = 100) -> DataFrame | None:
+    """At most `most` rows for each of the most_classes most frequent values of `by` (ties: the smaller value), the first by a
+    hash of the key: (key, text, by, place), or None without any. So it has most * most_classes rows at most.
 
-    The bound is the caller's documented parameter; texts over most_bytes (UTF-8) are not used for training.
+    The bounds are the caller's documented parameters; texts over most_bytes (UTF-8) are not used for training, and of rows
+    that repeat a key the smallest text is. Hashes under a limit set from the counts are ranked without their texts, so
+    a window sees little more than `most` rows of a class of any size; the texts are joined to the ranks.
     """
-    small = rows.where(F.col(by).isNotNull() & (F.octet_length(F.col(text)) <= most_bytes)).select(F.col(key).alias("__key"), F.col(by).alias("__by"), F.xxhash64(key).alias("__hash"))
-    bits = 12  # two steps, so that no window sorts a whole class: hash prefixes are counted, then only enough of them are ranked
-    counts = small.groupBy("__by", F.shiftrightunsigned("__hash", 64 - bits).alias("__lead")).agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("__by").orderBy("__lead").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    needed = counts.withColumn("before", before).where(F.col("before") < most).groupBy("__by").agg(F.max("__lead").alias("__last"))
-    lasts = {r["__by"]: r["__last"] for r in needed.collect()}
-    if not lasts:
+    spark = rows.sparkSession
+    short = F.col(by).isNotNull() & (F.octet_length(F.col(text)) <= most_bytes)
+    tmp = Temporary(spark)
+    keyed = tmp.written(rows.where(short).select(F.col(by).alias("by"), F.col(key).alias("key"), F.xxhash64(key).alias("hash")), "labelled")
+    counts = {r["by"]: r["n"] for r in keyed.groupBy("by").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "by").limit(most_classes).collect()}
+    if not counts:
+        tmp.drop()
         return None
-    within = F.lit(False)
-    for value, last in lasts.items():
-        within = within | ((F.col(by) == F.lit(value)) & (F.shiftrightunsigned(F.xxhash64(key), 64 - bits) <= last))
-    found = rows.where(within & (F.octet_length(F.col(text)) <= most_bytes)).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(by).alias("by"), F.xxhash64(key).alias("hash"))
-    top = Window.partitionBy("by").orderBy(F.shiftrightunsigned("hash", 64 - bits), "hash", "key")
-    return found.withColumn("place", F.row_number().over(top)).where(F.col("place") <= most).select("key", "text", "by", "place")
-
-
-def training_sample(rows: DataFrame, by: str, most: int, most_bytes: int, key: str = "doc_id", text: str = "text") -> list:
-    """`training_rows` as driver rows (key, text, by): the driver holds at most most * most_bytes bytes per value of `by`."""
-    found = training_rows(rows, by, most, most_bytes, key, text)
-    return [] if found is None else found.orderBy("by", "place").select("key", "text", "by").collect()
+    share = {c: min(1.0, (most + 6 * most**0.5 + 16) / n) for c, n in counts.items()}
+    kind = keyed.schema["by"].dataType
+    while True:
+        limits = [(c, int(min((1 << 63) - 1, -(1 << 63) + x * 2.0**64))) for c, x in share.items()]
+        limit = spark.createDataFrame(limits, T.StructType([T.StructField("by", kind), T.StructField("limit", T.LongType())]))
+        under = keyed.join(F.broadcast(limit), "by").where(F.col("hash") <= F.col("limit")).groupBy("by", "key").agg(F.min("hash").alias("hash"))
+        found = {r["by"]: r["n"] for r in under.groupBy("by").agg(F.count("*").alias("n")).collect()}
+        few = [c for c, x in share.items() if x < 1 and found.get(c, 0) < most]
+        if not few:
+            break
+        share |= {c: min(1.0, share[c] * 4) for c in few}  # a class of few keys, repeated often
+    top = Window.partitionBy("by").orderBy("hash", "key")
+    ranked = written(under.withColumn("place", F.row_number().over(top)).where(F.col("place") <= most).select(F.col("by").alias("__b"), F.col("key").alias("__k"), "place"), "ranked")
+    tmp.drop()
+    own = rows.where(short).select(F.col(by).alias("by"), F.col(key).alias("key"), F.col(text).alias("text"))
+    joined = own.join(F.broadcast(ranked), (F.col("by") == F.col("__b")) & F.col("key").eqNullSafe(F.col("__k")))
+    return joined.groupBy("key", "by", "place").agg(F.min("text").alias("text")).select("key", "text", "by", "place")
+
+
+def fitted(sample: DataFrame, columns: list[str], fit: Callable[[list[tuple]], object]) -> object:
+    """fit of the sorted rows of a bounded sample, run in one task; the driver gets the pickled result alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = sorted(row for b in batches for row in zip(*(b.column(c).to_pylist() for c in columns)))
+        out = pickle.dumps(fit(held))
+        del held
+        release_memory()
+        yield pa.RecordBatch.from_arrays([pa.array([out], pa.binary())], ["model"])
+
+    with batches_of(sample.sparkSession):
+        return pickle.loads(sample.select(*columns).repartition(1).mapInArrow(run, "model binary").first()["model"])
 
 
 def crc_rest(column: str, n: int) -> Column:

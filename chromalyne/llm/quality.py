@@ -9,10 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chromalyne.llm.common import Words, crc_rest, map_arrow, slices, training_sample
+from chromalyne.llm.common import Words, crc_rest, fitted, map_arrow, slices, training_rows, written
 
 SLICE_BYTES = 2 << 20
 FEATURES = 14
+#: Texts that are described at once in training.
+PIECE = 200
 
 
 def _kinds() -> np.ndarray:
@@ -102,18 +104,21 @@ def fit(x: np.ndarray, good: np.ndarray, prior: float) -> Evidence:
     return out
 
 
-def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", a_class: int = 2000, most_bytes: int = 50_000) -> Evidence:
+def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", a_class: int = 3000, most_bytes: int = 50_000) -> Evidence:
     """Evidence from labelled documents whose key is not held out: at most a_class of each label, texts of at most most_bytes.
 
-    Held out are keys whose CRC-32 as text leaves 1 modulo 3.
+    Held out are keys whose CRC-32 as text leaves 1 modulo 3. One task holds the sample and fits.
     """
     marks = labels.where((crc_rest(key, 3) != 1) & F.col(label).isin(0, 1)).select(F.col(key).alias("__id"), F.col(label).cast("int").alias("__y")).dropDuplicates(["__id"])
     rates = {r["__y"]: r["n"] for r in marks.groupBy("__y").agg(F.count("*").alias("n")).collect()}
     rows = docs.select(F.col(key).alias("__id"), F.col(text).alias("__text")).join(marks, "__id")
-    sample = training_sample(rows, "__y", a_class, most_bytes, "__id", "__text")
-    x = describe(pa.array([r["text"] for r in sample], pa.large_string())) if sample else np.zeros((0, FEATURES))
+    sample = training_rows(rows, "__y", a_class, most_bytes, "__id", "__text")
     prior = (rates.get(1, 0) + 1) / (sum(rates.values()) + 2)
-    return fit(x, np.array([r["by"] == 1 for r in sample], bool), prior)
+
+    def fit_rows(held: list[tuple]) -> Evidence:
+        return fit(np.concatenate([describe(pa.array([r[2] for r in held[i : i + PIECE]], pa.large_string())) for i in range(0, len(held), PIECE)]), np.array([r[0] == 1 for r in held], bool), prior)
+
+    return Evidence() if sample is None else fitted(sample, ["by", "place", "text"], fit_rows)
 
 
 def document_evidence(docs: DataFrame, evidence: Evidence, key: str, text: str, host: Column, path: Column) -> DataFrame:
@@ -151,24 +156,28 @@ def site_quality(evidence: DataFrame, threshold: float = 0.5) -> DataFrame:
 
     A path's posterior is its documents' mean drawn towards its host's, a host's towards the global mean; how strongly
     comes from the variances between and within groups. A document is judged by its own odds times the odds of its
-    path's posterior without it, relative to the global odds. Adds host_posterior, path_posterior, score and predicted.
-    Sums per (host, path) are combined before their shuffle; a large host's documents meet only its few path rows.
+    path's posterior without it (nor is it in the host's mean beneath), relative to the global odds: a host's only
+    document is judged by its own evidence. Adds host_posterior, path_posterior (both with all their documents), score and
+    predicted. Sums per (host, path) are combined before their shuffle and written once; a large host's documents meet
+    only its few path rows. evidence is read twice and should be a written table.
     """
     paths = evidence.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p_doc").alias("total"), F.sum(F.col("p_doc") ** 2).alias("squares"))
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").alias("squares"))
+    paths = written(paths, "paths")
+    hosts = written(paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").alias("squares")), "hosts")
     whole = hosts.agg(F.sum("n").alias("n"), F.sum("total").alias("total")).first()
     m0 = min(max((whole["total"] or 0.0) / max(1, whole["n"] or 0), 1e-4), 1 - 1e-4)
     k_host = _strength(hosts, F.lit(m0))
-    hosts = hosts.select("host", ((F.col("total") + k_host * m0) / (F.col("n") + k_host)).alias("host_posterior"))
     same = F.col("p.host").eqNullSafe(F.col("h.host"))
-    joined = paths.alias("p").join(hosts.alias("h"), same, "left").select("p.host", "p.path", "p.n", "p.total", "p.squares", "h.host_posterior")
+    joined = paths.alias("p").join(hosts.alias("h"), same, "left").select("p.host", "p.path", "p.n", "p.total", "p.squares", F.col("h.n").alias("host_n"), F.col("h.total").alias("host_total"))
+    joined = joined.withColumn("host_posterior", (F.col("host_total") + k_host * m0) / (F.col("host_n") + k_host))
     k_path = _strength(joined, F.col("host_posterior"))
     e, s = evidence.alias("e"), joined.alias("s")
     rows = e.join(s, F.col("e.host").eqNullSafe(F.col("s.host")) & F.col("e.path").eqNullSafe(F.col("s.path")), "left")
     logit = lambda p: F.log(p / (1 - p))
     bound = lambda p: F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6))
     posterior = (F.col("s.total") + k_path * F.col("host_posterior")) / (F.col("s.n") + k_path)
-    others = (F.col("s.total") - F.col("p_doc") + k_path * F.col("host_posterior")) / (F.col("s.n") - 1 + k_path)
+    host_others = (F.col("host_total") - F.col("p_doc") + k_host * m0) / (F.col("host_n") - 1 + k_host)
+    others = (F.col("s.total") - F.col("p_doc") + k_path * host_others) / (F.col("s.n") - 1 + k_path)
     z = logit(bound(F.col("p_doc"))) + logit(bound(others)) - logit(F.lit(m0))
     out = rows.select("e.doc_id", "e.host", "e.path", "p_doc", "host_posterior", posterior.alias("path_posterior"), (1 / (1 + F.exp(-z))).alias("score"))
     return out.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
@@ -177,9 +186,9 @@ def site_quality(evidence: DataFrame, threshold: float = 0.5) -> DataFrame:
 def score_quality(docs: DataFrame, evidence: Evidence, host: Column, path: Column, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
     """Quality of every document: a row per input row with doc_id, host, path, p_doc, host_posterior, path_posterior, score, predicted.
 
-    host and path are any column expressions. Null hosts are one host, null paths one path of it. Null and empty texts
-    have features of an empty text. Repeated rows count as often as they occur. An empty table gives no rows.
+    host and path are any column expressions over docs. The key is a whole number (cast to long) and may be null. Null
+    hosts are one host, null paths one path of it. Null and empty texts have features of an empty text; long texts are
+    described whole. Repeated rows count as often as they occur; a score at the threshold is predicted 1. Only key,
+    text, host and path are read, so names of other columns can't clash. An empty table gives no rows.
     """
-    from chromalyne.llm.common import written
-
     return site_quality(written(document_evidence(docs, evidence, key, text, host, path), "evidence"), threshold)

@@ -28,7 +28,7 @@ def op2_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_subword_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language.identify(docs, language.learn(docs))
-    return found.select("doc_id", (crc_rest("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "rejected")
+    return found.select("doc_id", (crc_rest("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "known", "rejected")
 
 
 def op4_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

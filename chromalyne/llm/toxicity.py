@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import math
-import pickle
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chromalyne.llm.common import Words, bound_batches, carried_row, crc_rest, map_arrow, release_memory, slices, training_rows, with_row
+from chromalyne.llm.common import Words, carried_row, crc_rest, fitted, map_arrow, slices, training_rows, with_row
 
 SLICE_BYTES = 2 << 20
 PREFIXES = (None, 3, 4, 5, 6, 7)
@@ -66,16 +64,16 @@ def label_tokens(slots: np.ndarray, row: np.ndarray, toxic: np.ndarray, kept: np
     return (marker[slots].any(1) & toxic[row]).astype(np.int8)
 
 
-def chunked(first: np.ndarray, counts: np.ndarray, warm: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (time x chunks, -1 outside the document) of stretches of CHUNK words with `warm` more on both sides, and which of them are a chunk's own."""
-    per = -(-counts // CHUNK)
+def chunked(first: np.ndarray, counts: np.ndarray, warm: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (time x chunks, -1 outside the document) of stretches of `size` words with `warm` more on both sides, and which of them are a chunk's own."""
+    per = -(-counts // size)
     doc = np.repeat(np.arange(len(counts)), per)
-    at = (np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)) * CHUNK
-    t = np.arange(-warm, CHUNK + warm)[:, None] + at[None, :]
+    at = (np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)) * size
+    t = np.arange(-warm, size + warm)[:, None] + at[None, :]
     inside = (t >= 0) & (t < counts[doc][None, :])
     own = inside.copy()
     own[:warm] = False
-    own[warm + CHUNK :] = False
+    own[warm + size :] = False
     return np.where(inside, t + first[:-1][doc][None, :], -1), own
 
 
@@ -84,14 +82,16 @@ def marginals(unary: np.ndarray, first: np.ndarray, counts: np.ndarray, start: f
 
     With two labels, forward and backward messages are one ratio each, and one step contracts the log ratio by
     tanh(d / 4), d the log odds ratio of the transitions (Birkhoff). Chunks therefore start `warm` words early from any
-    ratio and are exact to 1e-9 when they begin; a chunk at a document's border starts exactly.
+    ratio and are exact to 1e-9 when they begin; a chunk at a document's border starts exactly. Transitions so strong
+    that the longest document is no warm-up make every chunk begin at its document's border. Chunks are never shorter
+    than their warm-up, so at most three times the words are held.
     """
     if not len(unary):
         return np.zeros(0)
     odds = abs(trans[0, 0] + trans[1, 1] - trans[0, 1] - trans[1, 0])
-    rate = math.tanh(min(odds, 30.0) / 4)
-    warm = 1 if rate < 1e-9 else min(4096, math.ceil(math.log(1e-9) / math.log(rate))) if rate < 1 else 4096
-    where, own = chunked(first, counts, warm)
+    rate, longest = math.tanh(odds / 4), int(counts.max())
+    warm = 1 if rate < 1e-9 else longest if rate >= 1 else min(longest, math.ceil(math.log(1e-9) / math.log(rate)))
+    where, own = chunked(first, counts, warm, max(CHUNK, warm))
     steps = len(where)
     e = np.exp(np.clip(unary, -30, 30))[where]  # -1 reads the last word, masked below
     a00, a01, a10, a11 = np.exp(trans).ravel()
@@ -162,12 +162,13 @@ def _messages(e: np.ndarray, live: np.ndarray, start: float, a: np.ndarray) -> t
     return p, pairs
 
 
-def train(texts: list[str], toxic: np.ndarray, prior: tuple[float, float], epochs: int = 4, least_steps: int = 300, length: int = 64, seed: int = 0) -> Tagger:
+def train(texts: list[str], toxic: np.ndarray, prior: tuple[float, float], epochs: int = 4, least_steps: int = 300, length: int = 64, plain: int = 3, seed: int = 0) -> Tagger:
     """Fit tagger and document scale on labelled texts.
 
-    The chain is trained on sequences of `length` words by gradient ascent of the conditional likelihood with AdaGrad:
-    all with a labelled token, and three times as many others, for `epochs` epochs and least_steps steps. prior: rates of clean and toxic labels in the whole
-    table; the document scale weights the classes of the sample by them.
+    The chain is trained on sequences of `length` words by gradient ascent of the conditional likelihood with AdaGrad: all
+    with a labelled token, and `plain` times as many others (and 200), drawn at random, for `epochs` epochs and
+    least_steps steps. prior: rates of clean and toxic labels in the whole table; the document scale weights the classes
+    of the sample by them.
     """
     tagger = Tagger(np.zeros(1 << BITS, np.float32), -4.0, 0.0, np.zeros((2, 2)))
     if len(texts) == 0 or not toxic.any() or toxic.all():
@@ -194,8 +195,7 @@ def train(texts: list[str], toxic: np.ndarray, prior: tuple[float, float], epoch
     starts, sizes = np.array(starts, np.int64), np.array(sizes, np.int64)
     marked = np.add.reduceat(labels.astype(np.int64), starts) > 0 if len(starts) else np.zeros(0, bool)
     rng = np.random.default_rng(seed)
-    plain = rng.permutation(np.flatnonzero(~marked))[: 3 * int(marked.sum()) + 200]
-    chosen = np.concatenate([rng.permutation(np.flatnonzero(marked))[:20_000], plain[:40_000]])
+    chosen = np.concatenate([np.flatnonzero(marked), rng.permutation(np.flatnonzero(~marked))[: plain * int(marked.sum()) + 200]])
     w, g2 = np.zeros(1 << BITS), np.full(1 << BITS, 1e-2)
     other, o2 = np.array([-4.0, 0.0, 0.0, 0.0, 0.0]), np.full(5, 1.0)
     for _ in range(max(epochs, -(-least_steps * 256 // max(1, len(chosen))))):
@@ -274,16 +274,10 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     total = max(1, sum(rates.values()))
     prior = (rates.get(0, 0) / total, rates.get(1, 0) / total)
 
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = sorted((by, place, text) for b in batches for by, place, text in zip(*(b.column(c).to_pylist() for c in ("by", "place", "text"))))
-        tagger = train([r[2] for r in held], np.array([r[0] == 1 for r in held], bool), prior)
-        del held
-        release_memory()
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(tagger)], pa.binary())], ["tagger"])
+    def fit(held: list[tuple]) -> Tagger:
+        return train([r[2] for r in held], np.array([r[0] == 1 for r in held], bool), prior)
 
-    bound_batches(docs.sparkSession)
-    found = [] if sample is None else sample.select("by", "place", "text").repartition(1).mapInArrow(fit, "tagger binary").collect()
-    return pickle.loads(found[0]["tagger"]) if found else train([], np.zeros(0, bool), prior)
+    return train([], np.zeros(0, bool), prior) if sample is None else fitted(sample, ["by", "place", "text"], fit)
 
 
 def _tagged(model, carried: bool):
@@ -314,9 +308,10 @@ def tag_toxicity(docs: DataFrame, tagger: Tagger, key: str = "doc_id", text: str
     """Score every whole text and give its offending spans.
 
     Returns a row per input row: doc_id, score (0 to 1), n_toxic_words (marginal of 0.5 or more), expected_toxic_words
-    and spans (byte offsets in the UTF-8 text, end exclusive, mean marginal). Null and empty texts have no words and get
-    the score of a text without evidence. Long texts are tagged whole, in chunks with exact borders. The model (one
-    float32 per slot, 4 MB) is broadcast. Only the key and text are read; with `carry`, all input columns come back as a
+    and spans (byte offsets in the UTF-8 text, end exclusive, mean marginal). The key is a whole number (cast to long);
+    rows with a null key are tagged like others, repeated rows alike. A marginal of exactly 0.5 is in a span. Null and
+    empty texts have no words and get the score of a text without evidence. Long texts are tagged whole, in chunks with
+    exact borders. The model (one float32 per slot, 4 MB) is broadcast. Only the key and text are read; with `carry`, all input columns come back as a
     struct column `row`, where names can't clash. An empty table gives no rows.
     """
     model = docs.sparkSession.sparkContext.broadcast(tagger)

@@ -56,7 +56,8 @@ def test_posteriors_match_a_plain_computation(spark):
     logit = lambda x: math.log(x / (1 - x))
     for i, h, q, v in rows:
         own = paths[h, q]
-        others = (sum(own) - v + kp * post[h]) / (len(own) - 1 + kp)
+        host_others = (sum(hosts[h]) - v + kh * m0) / (len(hosts[h]) - 1 + kh)
+        others = (sum(own) - v + kp * host_others) / (len(own) - 1 + kp)
         want = 1 / (1 + math.exp(-(logit(v) + logit(others) - logit(m0))))
         assert got[i]["host_posterior"] == pytest.approx(post[h]) and got[i]["score"] == pytest.approx(want)
         assert got[i]["path_posterior"] == pytest.approx((sum(own) + kp * post[h]) / (len(own) + kp))
@@ -69,6 +70,12 @@ def test_sparse_sites_shrink_and_full_ones_do_not(spark):
     assert got["big"]["host_posterior"] == pytest.approx(0.86, abs=0.01) and got["small"]["host_posterior"] > 0.05
 
 
+def test_a_lone_document_is_judged_by_its_own_evidence(spark):
+    rows = [(i, f"h{i % 5}", "p", 0.2 + 0.15 * (i % 5)) for i in range(100)] + [(1000, "lonely", "p", 0.95), (1001, "pair", "a", 0.95), (1002, "pair", "b", 0.05)]
+    got = {r["doc_id"]: r["score"] for r in quality.site_quality(spark.createDataFrame(rows, "doc_id long, host string, path string, p_doc double")).collect()}
+    assert got[1000] == pytest.approx(0.95) and got[1001] < 0.95 and got[1002] > 0.05
+
+
 def test_awkward_rows(spark):
     docs, labels = corpus(spark, 80)
     evidence, table = quality.learn(docs, labels), awkward(spark)

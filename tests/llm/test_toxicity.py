@@ -80,6 +80,31 @@ def test_chunks_make_no_difference(monkeypatch):
     assert toxicity.marginals(u, first, counts, 0.4, trans)[:3000] == pytest.approx(whole, abs=1e-8)
 
 
+@pytest.mark.parametrize("strength", [4.0, 40.0, 400.0])
+def test_strong_transitions_are_exact_too(monkeypatch, strength):
+    rng = np.random.default_rng(2)
+    counts = np.array([2500, 0, 40])
+    first = np.concatenate([[0], np.cumsum(counts)])
+    u, trans = rng.normal(0, 1, counts.sum()), np.array([[strength / 2, -strength / 2], [-strength / 2, strength / 2]])
+    trans -= trans[0, 0]
+    whole = toxicity._messages(np.exp(u[:2500])[:, None], np.ones((2500, 1), bool), 0.4, np.exp(trans))[0][:, 0]
+    monkeypatch.setattr(toxicity, "CHUNK", 16)
+    assert toxicity.marginals(u, first, counts, 0.4, trans)[:2500] == pytest.approx(whole, abs=1e-7)
+
+
+def test_expected_transitions_match_enumeration():
+    rng = np.random.default_rng(3)
+    u, start, trans = rng.normal(0, 1, 6), 0.3, np.array([[0.2, -0.4], [0.1, 0.9]])
+    want, z = np.zeros((2, 2)), 0.0
+    for y in itertools.product((0, 1), repeat=6):
+        s = math.exp(sum(a for a, b in zip(u, y) if b) + (start if y[0] else 0) + sum(trans[a][b] for a, b in zip(y, y[1:])))
+        z += s
+        for a, b in zip(y, y[1:]):
+            want[a, b] += s
+    p, pairs = toxicity._messages(np.exp(u)[:, None], np.ones((6, 1), bool), start, np.exp(trans))
+    assert pairs == pytest.approx(want / z) and p[:, 0] == pytest.approx(exact(u, start, trans))
+
+
 def test_labels_of_tokens_leave_context_alone():
     rows = corpus(120)
     words = Words(pa.array([r[1] for r in rows], pa.large_string()), lower=True)
