@@ -74,10 +74,59 @@ def test_rows_of_one_key_are_not_smaller_than_each_other(spark):
 def test_an_index_grows_batch_by_batch(spark):
     index = f.FingerprintIndex(spark, 1000, fanout=2)
     frame = lambda rows: spark.createDataFrame([(i, 0, t) for i, t in rows], "doc_id long, crc long, text string")
-    paths = [index.ingest(frame([(i, prose(i, 30))])) for i in range(4)]
+    for i in range(4):
+        index.ingest(frame([(i, prose(i, 30))]))
     assert len(index.runs) == 1
-    paths.append(index.ingest(frame([(9, prose(0, 30)), (10, prose(77, 30)), (11, prose(2, 30))])))
-    assert {r["doc_id"] for r in index.hits(paths).collect()} == {9, 11}
+    index.ingest(frame([(9, prose(0, 30)), (10, prose(77, 30)), (11, prose(2, 30))]))
+    spans = {r["hit_id"]: [x.tolist() for x in f.spans_of(r["spans"], r["n_spans"])] for r in index.spans().collect()}
+    assert spans == {9: [[0], [18], [0], [0]], 11: [[0], [18], [2], [0]]}
+    index.drop()
+
+
+def test_runs_are_not_shuffled(spark):
+    index = f.FingerprintIndex(spark, 1000)
+    docs = spark.createDataFrame([(i, 0, prose(i, 30)) for i in range(5)], "doc_id long, crc long, text string")
+    index.ingest(docs)
+    old = index._read(f.RUN)
+    plan = docs.mapInArrow(f._scatter(13, 64, index.bits, index.groups), f.PARTS).groupBy("part").cogroup(old.groupBy("part")).applyInArrow(f._merge(index.groups, False, True), f.PARTS)
+    assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    index.drop()
+
+
+@pytest.mark.parametrize("bits", [1, 5, 10])
+def test_claims_that_fail_are_settled_by_words(spark, monkeypatch, bits):
+    """With so few bits most fingerprints are shared by different windows."""
+    monkeypatch.setattr(f, "SETTLED_AT_ONCE", 300)
+    rows = corpus()
+    docs = spark.createDataFrame([*rows, (3, rows[5][1]), (3, rows[9][1])], "doc_id long, text string").repartition(3)
+    got = f.dedup_substrings(docs, batches=3, hash_bits=bits).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=str) == expected([(r["doc_id"], r["text"]) for r in docs.collect()])
+
+
+def thue_morse(n, one, other):
+    return "".join(one if bin(i).count("1") % 2 == 0 else other for i in range(n))
+
+
+def test_words_that_polynomials_confuse_are_different(spark):
+    words = prose(5, 40).split()
+    a, b = ([*words[:12], thue_morse(1024, *x), *words[13:]] for x in (("a", "b"), ("b", "a")))
+    rows = [(1, " ".join(a[:13])), (2, " ".join(b[:13])), (3, " ".join(a)), (4, " ".join(b))]
+    got = f.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=str) == expected(rows) and {r["doc_id"]: r["n_removed"] for r in got}[2] == 0
+
+
+def test_a_common_passage_is_sent_once_a_task():
+    import pyarrow as pa
+
+    passage = prose(4, 60)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(3000)), "crc": [0] * 3000, "text": [f"w{i} {passage} v{i} " + prose(i, 150) for i in range(3000)]})
+    assert batch.nbytes > 2 * f.SLICE_BYTES
+    out = pa.Table.from_batches(f._scatter(13, 64, 4, 16)(iter([batch.slice(i, 500) for i in range(0, 3000, 500)])))
+    hashes = [f.unpack(d, n, "u8", "u4", "u4")[0] for k, n, d in zip(*(out.column(c).to_pylist() for c in ("kind", "n", "data"))) if k == f.NEW]
+    import numpy as np
+
+    _, counts = np.unique(np.concatenate(hashes), return_counts=True)
+    assert counts.max() == 1
 
 
 def test_planes_round_trip():
