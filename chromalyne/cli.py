@@ -17,7 +17,6 @@ from chromalyne.operators.paint import as_image, paint
 from chromalyne.operators.quality import k_sweep
 from chromalyne.plans import timing
 from chromalyne.sources import images, tables
-from chromalyne.sources.storage import scratch
 from chromalyne.streaming import video
 
 #: What profile's names stand for.
@@ -103,9 +102,10 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
             tables.write_timings(spark, rows, tables.CALIBRATION, a.out or naming.timing_output("calibration", height, width))
         else:
             target = naming.video_output(a.path.rstrip("/"), "")
-            stream = images.pixels(images.stream_images(spark, a.path, 8), depth)
-            start = video.showcase(stream, params, height, width, target, lambda rows: None, scratch(spark, "showcase"), a.cf, first_frame=numbers[0])
-            start.trigger(availableNow=True).start().awaitTermination()
+            tracked = video.showcase_batch(points, params, height, width, target, a.cf)
+            last = tracked.agg(F.max("frame_id").alias("f")).first()["f"]
+            for r in tracked.where(F.col("frame_id") == last).orderBy("cid").collect():  # k rows
+                print([r[f"c{i}"] for i in range(depth)])
             print(target)
     return 0
 

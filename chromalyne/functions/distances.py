@@ -33,11 +33,12 @@ def _plus(terms: list[Column]) -> Column:
 
 
 def _pairs(a: Channels, b: Channels, term: Callable[[Column, Column], Column], fold: str) -> Column:
-    """sum or max over channels of term(a_i, b_i): written out for lists of columns, higher-order for array columns."""
+    """sum or max over channels of term(a_i, b_i) in 64 bits: written out for lists of columns, higher-order for array columns."""
+    wide = lambda x, y: term(x.cast("bigint"), y.cast("bigint"))
     if isinstance(a, Column):
-        values = F.zip_with(a, b, term)
+        values = F.zip_with(a, b, wide)
         return F.array_max(values) if fold == "max" else F.aggregate(values, F.lit(0).cast("bigint"), lambda s, v: s + v)
-    terms = [term(x, y) for x, y in zip(a, b, strict=True)]
+    terms = [wide(x, y) for x, y in zip(a, b, strict=True)]
     if fold == "max":
         return F.greatest(*terms) if len(terms) > 1 else terms[0]
     return _plus(terms)
@@ -152,16 +153,16 @@ ARRAYS: dict[str, Callable[[np.ndarray, np.ndarray, float], np.ndarray]] = {
 
 
 def single_mean(total: Column, count: Column) -> Column:
-    """floor(float(total) / float(count)) divided in single precision, as an int.
+    """float(total) / float(count) divided in single precision and cut towards zero, as an int.
 
     A plain cast chain is not enough: the optimizer merges bigint to float to double into one cast and so loses the
-    rounding. greatest() with a float keeps each operand a float of its own.
+    rounding. greatest() with a float below all others keeps each operand a float of its own.
     """
-    zero = F.lit(0.0).cast("float")
-    quotient = F.greatest(total.cast("float"), zero) / F.greatest(count.cast("float"), zero)
-    return F.floor(quotient.cast("float")).cast("int")
+    least = F.lit(float("-inf")).cast("float")
+    quotient = F.greatest(total.cast("float"), least) / F.greatest(count.cast("float"), least)
+    return quotient.cast("float").cast("int")
 
 
 def single_mean_array(totals: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The same for k x d totals and k counts above 0."""
-    return np.floor(totals.astype(np.float32) / counts.astype(np.float32)[:, None]).astype(np.int64)
+    return np.trunc(totals.astype(np.float32) / counts.astype(np.float32)[:, None]).astype(np.int64)

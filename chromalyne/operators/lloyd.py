@@ -169,12 +169,16 @@ def fit_histogram(hist: DataFrame, init: Prototypes, params: KMeansParams, strat
     """The loop over a histogram.
 
     strategy: `groupby` (a grouped aggregate per iteration), `conditional` (one row of conditional aggregates), `local`
-    (histogram of at most LOCAL_CELLS cells on the driver) or `auto` (local if it is that small, else groupby). All
-    give the same result: sums are whole numbers. Each iteration starts from the cached histogram, so plans don't grow.
+    (histogram of at most LOCAL_CELLS cells on the driver) or `auto` (local if it is that small and the metric has a numpy
+    form, else groupby). All give the same result: sums are whole numbers. Each iteration starts from the cached histogram, so plans don't grow.
     """
     d = len(init[0])
     if strategy not in ("auto", "local", "groupby", "conditional"):
         raise ValueError(f"unknown strategy {strategy!r}")
+    if strategy == "local" and params.metric not in ARRAYS:
+        raise ValueError(f"metric {params.metric!r} has no numpy form")
+    if strategy == "auto" and params.metric not in ARRAYS:
+        strategy = "groupby"
     if strategy in ("auto", "local"):
         most = LOCAL_CELLS // d
         table = hist.limit(most + 1).toArrow()

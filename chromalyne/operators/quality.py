@@ -46,24 +46,26 @@ def extract_assignments(painted: DataFrame, k: int, name: str = "euclidean", p:
 
 
 def _silhouette(anchors: DataFrame, everyone: DataFrame, names: list[str], name: str, p: float) -> DataFrame:
-    """One row `silhouette` from anchors (cid, channels, weight) and all colours (cid, channels, n).
+    """One row `silhouette` from anchors (cid, channels, weight; each colour of a cluster once) and all colours (cid, channels, n).
 
     Distances to equal colours are counted once per pair of colours, times n; from an anchor's own colour one point is
-    the anchor itself. A cluster of one point has no silhouette, nor has a point where both means are 0.
+    the anchor itself. A cluster of one point has no silhouette, nor has a point where both means are 0. An anchor is
+    named by its cluster and colour, so recomputed tasks name it alike.
     """
     sizes = everyone.groupBy("cid").agg(F.sum("n").alias("size"))
-    a = anchors.select(F.monotonically_increasing_id().alias("anchor"), F.col("cid").alias("own"), F.col("weight"), *[F.col(c).alias(f"a{i}") for i, c in enumerate(names)])
-    a = a.join(F.broadcast(sizes.withColumnRenamed("cid", "own")), "own").where("size > 1")  # k rows
+    cells = [f"a{i}" for i in range(len(names))]
+    a = anchors.select(F.col("cid").alias("own"), "weight", *[F.col(c).alias(x) for x, c in zip(cells, names)])
+    a = a.join(F.broadcast(sizes.withColumnRenamed("cid", "own")), "own").where("size > 1").drop("size")  # k rows
     same = None
-    for i, c in enumerate(names):
-        same = (F.col(f"a{i}") == F.col(c)) if same is None else same & (F.col(f"a{i}") == F.col(c))
-    d = metric(name)([F.col(f"a{i}") for i in range(len(names))], [F.col(c) for c in names], p).cast("double")
+    for x, c in zip(cells, names):
+        same = (F.col(x) == F.col(c)) if same is None else same & (F.col(x) == F.col(c))
+    d = metric(name)([F.col(x) for x in cells], [F.col(c) for c in names], p).cast("double")
     times = F.col("n") - F.when(same & (F.col("cid") == F.col("own")), 1).otherwise(0)
     few = a.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     pairs = F.broadcast(a).crossJoin(everyone) if few else a.crossJoin(everyone)
-    per = pairs.groupBy("anchor", "own", "weight", "cid").agg(F.sum(d * times).alias("total"), F.sum(times).alias("count"))
+    per = pairs.groupBy("own", *cells, "weight", "cid").agg(F.sum(d * times).alias("total"), F.sum(times).alias("count"))
     mean = F.when(F.col("count") > 0, F.col("total") / F.col("count")).otherwise(0.0)
-    both = per.groupBy("anchor", "weight").agg(
+    both = per.groupBy("own", *cells, "weight").agg(
         F.max(F.when(F.col("cid") == F.col("own"), mean)).alias("inner"),
         F.min(F.when(F.col("cid") != F.col("own"), mean)).alias("outer"),
     )
@@ -82,13 +84,13 @@ def sample_order(place: Column) -> Column:
     return F.md5(place.cast("string"))
 
 
-def stratified_sample(points: DataFrame, max_samples: int) -> DataFrame:
+def stratified_sample(points: DataFrame, max_samples: int, sizes: DataFrame | None = None) -> DataFrame:
     """Of each cluster max(1, floor(max_samples * size / total)) points, the first by sample_order.
 
     Quotas are computed in 64 bits. The rank filter lets every task keep only its first max_samples points of a cluster
-    before the shuffle.
+    before the shuffle. sizes (cid, size): the clusters' sizes where they are known.
     """
-    sizes = points.groupBy("cid").agg(F.count("*").alias("size"))
+    sizes = points.groupBy("cid").agg(F.count("*").alias("size")) if sizes is None else sizes
     sizes = sizes.crossJoin(sizes.agg(F.sum("size").alias("total")))  # k rows and one
     first = Window.partitionBy("cid").orderBy(sample_order(F.col("idx")), "idx")
     ranked = points.withColumn("place", F.row_number().over(first)).where(F.col("place") <= max_samples)
@@ -96,17 +98,20 @@ def stratified_sample(points: DataFrame, max_samples: int) -> DataFrame:
     return ranked.join(F.broadcast(sizes), "cid").where(F.col("place") <= quota).drop("place", "size", "total")
 
 
-def silhouette_sampled(points: DataFrame, max_samples: int, name: str = "euclidean", p: float = MINKOWSKI_P) -> DataFrame:
+def silhouette_sampled(points: DataFrame, max_samples: int, name: str = "euclidean", p: float = MINKOWSKI_P, everyone: DataFrame | None = None) -> DataFrame:
     """The mean silhouette of a stratified sample of labelled points (idx, channels, cid); distances still go to all points.
 
-    With at most max_samples points, all of them are anchors. The anchors are broadcast: their number is bounded by
-    max_samples and the number of clusters.
+    With at most max_samples points, all of them are anchors. Anchors of one colour and cluster are one, with their
+    number as weight; their rows are bounded by max_samples and the number of clusters. everyone: the labelled histogram
+    (channels, cid, n) where there is one; points are then scanned for the sample alone.
     """
     names = channel_names(points)
-    everyone = points.groupBy("cid", *names).agg(F.count("*").alias("n"))
-    if points.limit(max_samples + 1).count() <= max_samples:
+    everyone = points.groupBy("cid", *names).agg(F.count("*").alias("n")) if everyone is None else everyone.select("cid", *names, "n")
+    sizes = everyone.groupBy("cid").agg(F.sum("n").alias("size"))
+    if (sizes.agg(F.sum("size").alias("n")).first()["n"] or 0) <= max_samples:
         return _silhouette(everyone.withColumn("weight", F.col("n")), everyone, names, name, p)
-    return _silhouette(stratified_sample(points, max_samples).withColumn("weight", F.lit(1)), everyone, names, name, p)
+    sample = stratified_sample(points, max_samples, sizes).groupBy("cid", *names).agg(F.count("*").alias("weight"))
+    return _silhouette(sample, everyone, names, name, p)
 
 
 def k_sweep(points: DataFrame, ks: range = range(2, 11), params: KMeansParams | None = None, max_samples: int = 5000, draw: Callable[[], Callable[[], int]] = lambda: seeding.Rand(0), with_silhouette: bool = True) -> DataFrame:
@@ -124,8 +129,8 @@ def k_sweep(points: DataFrame, ks: range = range(2, 11), params: KMeansParams |
             row = (k, elbow_error(painted).first()["elbow"])
             if with_silhouette:
                 centroids = painted_centroids(painted, k)
-                labelled = points.withColumn("cid", nearest(channels(points), centroids, "euclidean", MINKOWSKI_P))
-                row = (*row, silhouette_sampled(labelled, max_samples).first()["silhouette"])
+                label = nearest(channels(points), centroids, "euclidean", MINKOWSKI_P)
+                row = (*row, silhouette_sampled(points.withColumn("cid", label), max_samples, everyone=hist.withColumn("cid", label)).first()["silhouette"])
             out.append(row)
     finally:
         hist.unpersist()

@@ -55,20 +55,34 @@ def points_at(points: DataFrame, indices: Sequence[int]) -> Prototypes:
     return [found[i] for i in indices]
 
 
-def farthest_points(hist: DataFrame, k: int, first: Sequence[int]) -> Prototypes:
+#: A histogram of at most so many cells (colours times channels) is searched on the driver: 8 MB, whatever the input's size.
+LOCAL_CELLS = 1_000_000
+
+
+def farthest_points(hist: DataFrame, k: int, first: Sequence[int], most_cells: int = LOCAL_CELLS) -> Prototypes:
     """first, then again and again the colour whose distance to the nearest one chosen is largest; of equally far ones
-    the colour that comes first in the image. One grouped maximum per prototype, no window and no sort."""
+    the colour that comes first in the image.
+
+    A histogram of at most most_cells cells (a bounded read) is searched on the driver, where the distance to the nearest
+    one chosen is kept; a larger one with one grouped maximum per prototype, no window and no sort.
+    """
     array = is_array(hist)
+    d = dimensions(hist)
+    if array and not d:
+        raise ValueError("no points")
     own, chosen = channels(hist), [[int(x) for x in first]]
+    table = hist.select("c" if array else F.array(*channel_names(hist)).alias("c"), "first_idx").limit(most_cells // d + 1).toArrow()
+    if table.num_rows <= most_cells // d:
+        if not table.num_rows:
+            raise ValueError("no points")
+        return farthest_points_array(np.array(table.column("c").to_pylist(), np.int64), table.column("first_idx").to_numpy(), k, first)
     # up to 64 channels squares order and tie like the single-precision roots
-    exact = dimensions(hist) <= 64
+    exact = d <= 64
     cell = F.col("c") if array else F.array(*channel_names(hist))
     while len(chosen) < k:
         measures = [(squared_int if exact else euclidean)(own, literal(p, array)) for p in chosen]
         nearest = F.least(*measures) if len(measures) > 1 else measures[0]
         best = hist.agg(F.max(F.struct(nearest.alias("far"), (-F.col("first_idx")).alias("early"), cell.alias("c"))).alias("best")).first()["best"]
-        if best is None:
-            raise ValueError("no points")
         chosen.append([int(x) for x in best["c"]])
     return chosen
 

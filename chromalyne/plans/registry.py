@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chromalyne.functions.distances import MINKOWSKI_P, metric
@@ -14,7 +14,7 @@ from chromalyne.operators.paint import paint
 from chromalyne.plans import analytics, inputs, sql
 from chromalyne.plans.inputs import FRAMES, HIST, PX3, VEC64
 from chromalyne.sources import images, tables
-from chromalyne.sources.storage import scratch
+from chromalyne.sources.storage import scratch, written
 from chromalyne.streaming import video
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,7 +23,7 @@ ORACLES: dict[str, str] = {}
 #: The first nine draws of the replayed generator modulo 256, three prototypes of three channels.
 SEEDS: Prototypes = [[103, 198, 105], [115, 81, 255], [74, 236, 41]]
 PARAMS = KMeansParams(3)
-SAMPLES = 500
+SAMPLES = 5000
 SWEEP = range(2, 11)
 #: Places of the points that seed the pixel-centroid query; one occurs twice.
 PLACES = [17, 4711, 17, 300]
@@ -149,22 +149,47 @@ for _name in ("squared_euclidean", "manhattan", "chebyshev", "minkowski", "cosin
 # seeding
 
 
-def _farthest_oracle(k: int) -> str:
+def _farthest_parts(k: int) -> str:
     parts = [f"f1 as (select {sql.prototypes_literal([SEEDS[0]])}[1] c)"]
     for j in range(2, k + 1):
         d = [sql.total([f"({c} - f{i}.c[{x + 1}])*({c} - f{i}.c[{x + 1}])" for x, c in enumerate(sql.C)]) for i in range(1, j)]
         far = f"least({', '.join(d)})" if len(d) > 1 else d[0]
         parts.append(f"f{j} as (select [c0, c1, c2] c from h, {', '.join(f'f{i}' for i in range(1, j))} order by {far} desc, first_idx limit 1)")
+    return ", ".join(parts)
+
+
+def _farthest_oracle(k: int) -> str:
     rows = " union all ".join(f"select {j - 1} cid, c[1] c0, c[2] c1, c[3] c2 from f{j}" for j in range(1, k + 1))
-    return f"with {PX3}, {HIST}, {', '.join(parts)} {rows}"
+    return f"with {PX3}, {HIST}, {_farthest_parts(k)} {rows}"
+
+
+def _farthest_fit_oracle(k: int) -> str:
+    first = f"select [{', '.join(f'f{j}.c' for j in range(1, k + 1))}] p from {', '.join(f'f{j}' for j in range(1, k + 1))}"
+    return f"with recursive {PX3}, {HIST}, {_farthest_parts(k)}, {sql.lloyd('l', k, first)} select cid::int cid, it::int it, c0, c1, c2 from ({sql.spread('l', k)}) z"
 
 
 @query(_farthest_oracle(4))
 def farthest_init(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = seeding.farthest_points(_hist(spark, sf_dir).persist(), 4, SEEDS[0])
+    found = seeding.farthest_points(_hist(spark, sf_dir), 4, SEEDS[0])
     return spark.createDataFrame([(i, *q) for i, q in enumerate(found)], "cid int, c0 int, c1 int, c2 int")
 
 
+def _fit_query(name: str, variant: str, oracle: str) -> None:
+    """A named variant with its own seeds and its own way of summing."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _prototypes(spark, lloyd.kmeans(inputs.px3(spark, sf_dir) if "++" in variant else inputs.px3_unordered(spark, sf_dir), PARAMS, variant, seeding.Rand(0)))
+
+    run.__name__ = name
+    query(oracle)(run)
+
+
+_fit_query("kmeans_old", "k-means old", _lloyd_oracle(SEEDS))
+_fit_query("kmeans_tiled", "k-means tiled", _lloyd_oracle(SEEDS))
+_fit_query("kmeanspp", "k-means++", _farthest_fit_oracle(3))
+_fit_query("kmeanspp_reduce", "k-means++ reduce", _farthest_fit_oracle(3))
+
+
 _at = ", ".join(f"(select [c0, c1, c2] from px where idx = {i})" for i in PLACES)
 
 
@@ -184,7 +209,7 @@ _PICK = [f"[{', '.join(q[i] for q in _NEW)}][cid + 1]" for i in range(3)]
 
 
 def _painted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hist = _hist(spark, sf_dir).persist()
+    hist = written(_hist(spark, sf_dir), "histogram")
     return paint(hist, lloyd.fit_histogram(hist, SEEDS, PARAMS))
 
 
@@ -210,37 +235,38 @@ def extract_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled.groupBy("cid").agg(F.sum("n").alias("n"), F.count("*").alias("colours"))
 
 
-def _silhouette_sql(anchors: str) -> str:
-    return f"""sz as (select cid, sum(n) size from lab group by cid),
-an as ({anchors}),
-pr as (select a.id, a.cid own, a.w, b.cid,
+def _silhouette_sql(anchors: str, tag: str = "") -> str:
+    """CTEs up to si{tag} (silhouette); anchors: SQL for rows (cid, c0, c1, c2, w) over lab{tag}."""
+    return f"""sz{tag} as (select cid, sum(n) size from lab{tag} group by cid),
+an{tag} as (select row_number() over () id, * from ({anchors}) x),
+pr{tag} as (select a.id, a.cid own, a.w, b.cid,
   sum(sqrt(((a.c0-b.c0)*(a.c0-b.c0)+(a.c1-b.c1)*(a.c1-b.c1)+(a.c2-b.c2)*(a.c2-b.c2))::double)::float::double * (b.n - (case when a.cid = b.cid and a.c0 = b.c0 and a.c1 = b.c1 and a.c2 = b.c2 then 1 else 0 end))) total,
   sum(b.n - (case when a.cid = b.cid and a.c0 = b.c0 and a.c1 = b.c1 and a.c2 = b.c2 then 1 else 0 end)) cnt
-  from an a join sz on sz.cid = a.cid and sz.size > 1, lab b group by a.id, a.cid, a.w, b.cid),
-ab as (select id, w, max(case when cid = own then case when cnt > 0 then total/cnt else 0 end end) i, min(case when cid <> own then total/cnt end) o from pr group by id, w)
-select round(coalesce(sum((o - i)/greatest(o, i)*w)/sum(w), 0), 6) silhouette from ab where o is not null and (i > 0 or o > 0)"""
+  from an{tag} a join sz{tag} z on z.cid = a.cid and z.size > 1, lab{tag} b group by a.id, a.cid, a.w, b.cid),
+ab{tag} as (select id, w, max(case when cid = own then case when cnt > 0 then total/cnt else 0 end end) i, min(case when cid <> own then total/cnt end) o from pr{tag} group by id, w),
+si{tag} as (select round(coalesce(sum((o - i)/greatest(o, i)*w)/sum(w), 0), 6) silhouette from ab{tag} where o is not null and (i > 0 or o > 0))"""
 
 
-@query(f"{_LABELLED}, {_silhouette_sql('select first_idx id, cid, c0, c1, c2, n w from lab')}")
+@query(f"{_LABELLED}, {_silhouette_sql('select cid, c0, c1, c2, n w from lab')} select silhouette from si")
 def silhouette_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled, _ = quality.extract_assignments(_painted(spark, sf_dir), 3)
     return quality.silhouette(labelled).select(F.round("silhouette", 6).alias("silhouette"))
 
 
-_SAMPLE = f"""select idx id, cid, c0, c1, c2, 1 w from (
+def _sample(tag: str = "") -> str:
+    return f"""select cid, c0, c1, c2, count(*) w from (
   select x.*, row_number() over (partition by cid order by md5(cast(idx as varchar)), idx) place, count(*) over (partition by cid) size, count(*) over () total
-  from (select px.idx, px.c0, px.c1, px.c2, lab.cid from px join lab using (c0, c1, c2)) x) y
-  where place <= greatest(1, floor({SAMPLES}*size/total))"""
+  from (select px.idx, px.c0, px.c1, px.c2, lab{tag}.cid from px join lab{tag} using (c0, c1, c2)) x) y
+  where place <= greatest(1, floor({SAMPLES}*size/total)) or total <= {SAMPLES} group by cid, c0, c1, c2"""
 
 
-@query(f"{_LABELLED}, {_silhouette_sql(_SAMPLE)}")
+@query(f"{_LABELLED}, {_silhouette_sql(_sample())} select silhouette from si")
 def silhouette_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    px = inputs.px3(spark, sf_dir)
-    hist = points.histogram(px).persist()
-    painted = paint(hist, lloyd.fit_histogram(hist, SEEDS, PARAMS))
-    centroids = quality.painted_centroids(painted, 3)
-    labelled = px.withColumn("cid", lloyd.nearest(points.channels(px), centroids, "euclidean", MINKOWSKI_P))
-    return quality.silhouette_sampled(labelled, SAMPLES).select(F.round("silhouette", 6).alias("silhouette"))
+    px = written(inputs.px3(spark, sf_dir), "points")
+    hist = written(points.histogram(px), "histogram")
+    centroids = quality.painted_centroids(paint(hist, lloyd.fit_histogram(hist, SEEDS, PARAMS)), 3)
+    label = lloyd.nearest(points.channels(px), centroids, "euclidean", MINKOWSKI_P)
+    return quality.silhouette_sampled(px.withColumn("cid", label), SAMPLES, everyone=hist.withColumn("cid", label)).select(F.round("silhouette", 6).alias("silhouette"))
 
 
 def _sweep_oracle() -> str:
@@ -257,10 +283,29 @@ def k_sweep_elbow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.k_sweep(inputs.px3_unordered(spark, sf_dir), SWEEP, with_silhouette=False)
 
 
-@query()
+def _metrics_oracle() -> str:
+    parts, rows = [], []
+    for k in SWEEP:
+        old, new = sql.state_cells(k, "old"), sql.state_cells(k, "p")
+        pick = [f"[{', '.join(q[i] for q in new)}][cid + 1]" for i in range(3)]
+        parts.append(sql.lloyd(f"l{k}", k, f"select {sql.prototypes_literal(seeding.random_colours(k, 3, seeding.Rand(0)))} p"))
+        parts.append(f"""pt{k} as (select c0, c1, c2, n, first_idx, {pick[0]} r0, {pick[1]} r1, {pick[2]} r2 from (select h.*, p, old, {sql.nearest('euclidean', old)} cid from h, l{k}) x),
+u{k} as (select r0, r1, r2, row_number() over (order by min(first_idx)) - 1 cid from pt{k} group by r0, r1, r2),
+lab{k} as (select c0, c1, c2, any_value(n) n, arg_min(u.cid, (sqrt(((c0-u.r0)*(c0-u.r0)+(c1-u.r1)*(c1-u.r1)+(c2-u.r2)*(c2-u.r2))::double)::float, u.cid)) cid from pt{k} p, u{k} u group by c0, c1, c2)""")
+        parts.append(_silhouette_sql(_sample(str(k)), str(k)))
+        rows.append(f"select {k}::int k, (select {sql.elbow('euclidean', old, new)}::double from h, l{k}) elbow, silhouette from si{k}")
+    return f"with recursive {PX3}, {HIST}, {', '.join(parts)}, sweep as ({' union all '.join(rows)})"
+
+
+def _sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    swept = quality.k_sweep(inputs.px3(spark, sf_dir), SWEEP, max_samples=SAMPLES)
+    return swept.select("k", "elbow", F.round("silhouette", 6).alias("silhouette"))
+
+
+@query(f"{_metrics_oracle()} select * from sweep")
 def k_sweep_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elbow and sampled silhouette for each k, as the metrics command writes them."""
-    return quality.k_sweep(inputs.px3(spark, sf_dir), SWEEP, max_samples=SAMPLES)
+    return _sweep(spark, sf_dir)
 
 
 # frames
@@ -317,14 +362,20 @@ def calibrate_warm_start_many(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_track_oracle())
 def calibrate_warm_start_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same over a stream that sees a few frame files per trigger, in the order the source finds them."""
-    source, out = scratch(spark, "frames"), scratch(spark, "tracked")
-    frames = inputs.frames(spark, sf_dir)
-    frames.repartitionByRange(30, "frame_id").sortWithinPartitions("frame_id", "idx").write.parquet(source)
-    stream = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 6).parquet(source)
-    query = video.track_stream(stream, PARAMS, lambda rows: rows.write.mode("append").parquet(out), scratch(spark, "progress"), CALIBRATION)
-    run = query.trigger(availableNow=True).start()
-    run.awaitTermination()
+    """The same over a stream that sees a file of six frames per trigger and is stopped and started again half-way."""
+    source, out, progress = (scratch(spark, x) for x in ("frames", "tracked", "progress"))
+    frames = written(inputs.frames(spark, sf_dir), "events")
+
+    def run() -> None:
+        stream = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        writer = video.track_stream(stream, PARAMS, lambda rows: rows.write.mode("append").parquet(out), progress, CALIBRATION)
+        writer.trigger(availableNow=True).start().awaitTermination()
+
+    for first in range(0, 30, 6):
+        video.frames_between(frames, first, first + 6).coalesce(1).write.mode("append").parquet(source)
+        if first == 12:
+            run()
+    run()
     return spark.read.parquet(out).select(*_TRACKED)
 
 
@@ -344,6 +395,24 @@ def image_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return px.groupBy("frame_id").agg(F.count("*").alias("pixels"), *[F.sum(f"c{i}").alias(f"s{i}") for i in range(3)], F.max("c0").alias("m0"))
 
 
+RAW = 4  # a raw frame has RAW x RAW pixels
+
+
+@query(
+    f"with {FRAMES}, px as (select frame_id, c0, c1, c2, row_number() over (partition by frame_id order by event_id) - 1 idx from fr where frame_id < 30) "
+    f"select frame_id, count(*) pixels, sum(c0)::bigint s0, sum(idx*c1)::bigint s1, max(c2) m2 from px where idx < {RAW * RAW} group by frame_id"
+)
+def raw_video_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first pixels of every frame written as one file of raw frames, read back a range of frames per task."""
+    place = Window.partitionBy("frame_id").orderBy("idx")
+    few = inputs.frames(spark, sf_dir).where("frame_id < 30").withColumn("at", F.row_number().over(place)).where(F.col("at") <= RAW * RAW)
+    path = scratch(spark, "raw")
+    images.write_raw(few.select("frame_id", (F.col("at") - 1).alias("idx"), "c0", "c1", "c2"), RAW, RAW, path)
+    images.register(spark)
+    px = images.pixels(images.as_images(spark.read.format("raw_video").option("height", RAW).option("width", RAW).option("framesPerTask", 8).load(path)))
+    return px.groupBy("frame_id").agg(F.count("*").alias("pixels"), F.sum("c0").alias("s0"), F.sum(F.col("idx") * F.col("c1")).alias("s1"), F.max("c2").alias("m2"))
+
+
 # analytics over timing tables: events give each weekday (a resolution) and type (a variant) its timings
 
 _KIND = "case event_type {} end".format(" ".join(f"when '{t}' then {i}" for i, t in enumerate(("click", "error", "purchase", "signup", "view"))))
@@ -380,10 +449,34 @@ def bench_three_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.three_ways(t, moved(1, 5), moved(2, 0)).select("resolution", "best", F.round("fps", 9).alias("fps"), F.round("speedup", 9).alias("speedup"))
 
 
-@query(f"with {_TIMINGS} select k, curve, value from (select k, 'elbow' curve, k*1.0::double value from range(2, 11) r(k) union all select k, 'silhouette', 1.0::double/k from range(2, 11) r(k)) z")
+@query(f"{_metrics_oracle()} select k::bigint k, 'elbow' curve, elbow as value from sweep union all select k::bigint, 'silhouette', silhouette from sweep")
 def bench_metric_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = spark.range(2, 11).withColumnRenamed("id", "k")
-    return analytics.metric_curves(k.select("k", F.col("k").cast("double").alias("elbow"), (F.lit(1.0) / F.col("k")).alias("silhouette")))
+    """The sweep written as the metrics file, read back and turned into curves."""
+    path = scratch(spark, "metrics")
+    tables.write_metrics(_sweep(spark, sf_dir), path)
+    back = tables.read_timings(spark, path)
+    return analytics.metric_curves(back.select(F.col("k").cast("bigint").alias("k"), F.col(f"`{tables.METRICS[0]}`").alias("elbow"), F.col(f"`{tables.METRICS[1]}`").alias("silhouette")))
+
+
+_FILES = {"baseline": tables.BASELINE, "video": tables.VIDEO, "calibration": tables.CALIBRATION}
+
+
+def _files_oracle() -> str:
+    rows = []
+    for n, (name, columns) in enumerate(_FILES.items()):
+        rows += [f"select '{name}' resolution, '{c.strip()}' variant, {i} as position, avg(s * {i + 1} + {n}) m from r" for i, c in enumerate(columns)]
+    return f"with r as (select extract(day from ts) d, floor(avg(value) * 64) / 64 s from events group by 1) select resolution, variant, position, round(m, 9) mean_seconds from ({' union all '.join(rows)}) z"
+
+
+@query(_files_oracle())
+def timing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three kinds of timing files, a run per day of the events, written by their writer, read back with one that is missing."""
+    runs = inputs.table(spark, sf_dir, "events").groupBy(F.dayofmonth("ts").alias("d")).agg((F.floor(F.avg("value") * 64) / 64).alias("s")).collect()  # 31 rows
+    paths = {name: scratch(spark, name) for name in _FILES}
+    for n, (name, columns) in enumerate(_FILES.items()):
+        tables.write_timings(spark, [[r["s"] * (i + 1) + n for i in range(len(columns))] for r in runs], columns, paths[name])
+    found = tables.read_present(spark, paths | {"multicore": scratch(spark, "missing")}, warn=lambda text: None)
+    return analytics.means(found).select("resolution", "variant", "position", F.round("mean_seconds", 9).alias("mean_seconds"))
 
 
 @query(f"with {PX3}, hh as (select c0, c1, c2 from px), t as (select (idx % 30) run, c0::double/8 a, c1::double/8 b from px) select variant, round(avg(seconds), 9) mean_seconds from (select 'Squared euclidean distance' variant, a as seconds from t union all select 'Manhattan distance', b from t) z group by variant")
@@ -398,7 +491,7 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Converged k-means over the line items with the size of each cluster."""
-    hist = points.histogram(inputs.px3_unordered(spark, sf_dir)).persist()
+    hist = written(points.histogram(inputs.px3_unordered(spark, sf_dir)), "histogram")
     model = lloyd.fit_histogram(hist, SEEDS, PARAMS)
     sizes = lloyd.assign(hist, model.label_prototypes).groupBy("cid").agg(F.sum("n").alias("size"))
     return _prototypes(spark, model).join(sizes, "cid", "left")

@@ -127,6 +127,17 @@ class PngFrames(DataSource):
         return _PngWriter(self.options)
 
 
+def write_raw(points: DataFrame, height: int, width: int, path: str) -> None:
+    """A video of frames 0, 1, ... as one file of raw frames; they stream through the driver one by one, as a file has one writer."""
+    files, root = _filesystem(path)
+    files.create_dir(root.rpartition("/")[0], recursive=True)
+    with files.open_output_stream(root) as out:
+        for i, frame in enumerate(images_from_pixels(points, height, width).orderBy("frame_id").toLocalIterator()):
+            if frame["frame_id"] != i:
+                raise ValueError(f"frame {i} is missing")
+            out.write(bytes(frame["data"]))
+
+
 class _FrameRange(InputPartition):
     def __init__(self, first: int, last: int):
         super().__init__((first, last))

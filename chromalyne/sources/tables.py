@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chromalyne.sources.storage import exists
+
 #: The columns of the result files.
 BASELINE = ("Squared euclidean distance", "Manhattan distance", "Chebyshev distance", "Minkowski distance", "Cosine distance")
 VIDEO = ("k-means old", "k-means", "k-means++", "k-means pixel centroids", "k-means tiled", "k-means++ reduce", "k-means skip convergence check")
@@ -25,11 +27,6 @@ def read_timings(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in raw.columns])
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def read_present(spark: SparkSession, paths: dict[str, str], warn=print) -> DataFrame | None:
     """Those of the named result files that exist, stacked long with their name as `resolution`; missing ones are warned of."""
     out = None

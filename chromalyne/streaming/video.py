@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -10,13 +11,16 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
+from chromalyne.functions.distances import ARRAYS, order_key
 from chromalyne.operators import seeding
-from chromalyne.operators.lloyd import KMeansModel, KMeansParams, fit_arrays, fit_histogram, labels_array
+from chromalyne.operators.lloyd import LOCAL_CELLS, KMeansModel, KMeansParams, fit_arrays, fit_histogram, labels_array
 from chromalyne.operators.paint import paint
 from chromalyne.operators.points import channel_names, histogram
 from chromalyne.operators.quality import elbow_error
 from chromalyne.operators.seeding import Prototypes
+from chromalyne.sources.storage import delete_path, get_text, put_text, written
 
 WARM_UP_FRAMES, MEASURED_FRAMES, CALIBRATION_FRAMES = 5, 30, 10
 
@@ -56,20 +60,26 @@ def per_frame(points: DataFrame, params: KMeansParams, seeds: Callable[[int, int
 class Tracker:
     """The state of a calibrated video: the first `calibration` frames are clustered from fresh random colours and the
     prototypes with the smallest elbow error are kept (of equal ones the earlier frame's); each later frame starts from
-    the frame before. Frames that come out of order wait for their turn."""
+    the frame before. `seen` frames were clustered, the last one was `last`, and `draws` numbers were drawn for them."""
 
     params: KMeansParams
     calibration: int = CALIBRATION_FRAMES
     draw: Callable[[], int] = field(default_factory=lambda: seeding.Rand(0))
     best_error: float | None = None
     prototypes: Prototypes | None = None
-    next_frame: int = 0
+    seen: int = 0
+    last: int | None = None
+    draws: int = 0
+
+    def drawn(self) -> int:
+        self.draws += 1
+        return self.draw()
 
-    def step(self, hist: DataFrame) -> tuple[KMeansModel, float | None]:
+    def step(self, hist: DataFrame, frame: int | None = None) -> tuple[KMeansModel, float | None]:
         """Cluster the next frame's histogram; the error is given while calibrating."""
         d = len(channel_names(hist))
-        calibrating = self.next_frame < self.calibration
-        first = seeding.random_colours(self.params.k, d, self.draw) if calibrating or self.prototypes is None else self.prototypes
+        calibrating = self.seen < self.calibration
+        first = seeding.random_colours(self.params.k, d, self.drawn) if calibrating or self.prototypes is None else self.prototypes
         model = fit_histogram(hist, first, self.params)
         error = None
         if calibrating:
@@ -78,9 +88,19 @@ class Tracker:
                 self.best_error, self.prototypes = error, model.prototypes
         else:
             self.prototypes = model.prototypes
-        self.next_frame += 1
+        self.seen, self.last = self.seen + 1, frame
         return model, error
 
+    def saved(self) -> str:
+        return json.dumps({x: getattr(self, x) for x in ("best_error", "prototypes", "seen", "last", "draws")})
+
+    def restored(self, text: str, draw: Callable[[], int]) -> Tracker:
+        """The tracker as it was saved; draw starts anew and skips what was drawn."""
+        state = json.loads(text)
+        for _ in range(state["draws"]):
+            draw()
+        return Tracker(self.params, self.calibration, draw, **state)
+
 
 def _rows(frame: int, phase: str, model: KMeansModel, error: float | None) -> list[tuple]:
     return [(frame, phase, cid, model.iterations, error, *q) for cid, q in enumerate(model.prototypes)]
@@ -93,60 +113,74 @@ def _schema(names: list[str]) -> str:
 def track(points: DataFrame, params: KMeansParams, calibration: int = CALIBRATION_FRAMES, draw: Callable[[], int] | None = None) -> DataFrame:
     """(frame_id, phase, cid, iterations, error, c0..) of a video, frame after frame.
 
-    Frames depend on each other, so the loop is sequential; inside a frame the work is a distributed fit. Points are
-    counted per frame once and cached, and a frame's fit reads only that frame.
+    Frames depend on each other, so the loop is sequential. Points are counted per frame once. Where every frame's
+    histogram is at most LOCAL_CELLS cells and draws and metric are the library's own, one task runs the loop over the
+    sorted histograms, a frame at a time, as track_many does; otherwise each frame is a distributed fit that reads only
+    that frame.
     """
     if calibration < 1:
         raise ValueError("the number of calibration frames must be positive")
     names = channel_names(points)
-    hist = histogram(points, ["frame_id"]).repartition("frame_id").cache()
+    hist = written(histogram(points, ["frame_id"]).repartition("frame_id"), "frame-histograms")
+    largest = hist.groupBy("frame_id").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    if draw is None and params.metric in ARRAYS and largest * len(names) <= LOCAL_CELLS:
+        one = hist.drop("first_idx").withColumn("video_id", F.lit(0).cast("bigint"))
+        return _tracked(one, names, params, calibration).select("frame_id", "phase", "cid", "iterations", "error", *names)
     tracker, out = Tracker(params, calibration, draw or seeding.Rand(0)), []
-    try:
-        for row in hist.select("frame_id").distinct().orderBy("frame_id").toLocalIterator():
-            frame = row["frame_id"]
-            phase = "calibration" if tracker.next_frame < calibration else "tracking"
-            model, error = tracker.step(hist.where(F.col("frame_id") == frame).drop("frame_id"))
-            out += _rows(frame, phase, model, error)
-    finally:
-        hist.unpersist()
+    for row in hist.select("frame_id").distinct().orderBy("frame_id").toLocalIterator():
+        frame = row["frame_id"]
+        phase = "calibration" if tracker.seen < calibration else "tracking"
+        model, error = tracker.step(hist.where(F.col("frame_id") == frame).drop("frame_id"), frame)
+        out += _rows(frame, phase, model, error)
     return points.sparkSession.createDataFrame(out, _schema(names))
 
 
-def track_stream(frames: DataFrame, params: KMeansParams, sink: Callable[[DataFrame], None], checkpoint: str, calibration: int = CALIBRATION_FRAMES, draw: Callable[[], int] | None = None, painted: Callable[[int, DataFrame], None] | None = None, first_frame: int = 0):
+def track_stream(frames: DataFrame, params: KMeansParams, sink: Callable[[DataFrame], None], checkpoint: str, calibration: int = CALIBRATION_FRAMES, draws: Callable[[], Callable[[], int]] = seeding.Rand, painted: Callable[[int, DataFrame], None] | None = None):
     """The same over a stream of points (frame_id, idx, c0..); returns the writer to start.
 
-    sink gets each clustered frame's rows; painted, if given, each frame's number and painted points (calibration frames
-    too), as a showcase of the whole video needs. State is k x d numbers and lives on the driver; a frame that arrives
-    early is kept as its histogram until the frames before it came. For fault tolerance the sink should be idempotent
-    per frame_id, as foreachBatch may repeat a batch.
+    A micro-batch must hold whole frames, and frames must come in order; inside a batch they are sorted. Missing numbers
+    are skipped, as `track` does. A frame that comes after a later one is an error, never a silent loss. sink gets each
+    clustered frame's rows; painted, if given, each frame's number and painted points (calibration frames too), as a
+    showcase of the whole video needs.
+
+    State is k x d numbers and what was drawn. It is written beside the checkpoint's own files for every batch, so that a
+    restart goes on where the checkpoint does; a batch that is repeated starts from the state before it and gives the
+    same rows. For fault tolerance the sink should therefore be idempotent per frame_id. draws gives a fresh generator.
     """
     names = channel_names(frames)
-    tracker, waiting = Tracker(params, calibration, draw or seeding.Rand(0), next_frame=0), {}
+    place = lambda n: f"{checkpoint.rstrip('/')}/tracker/{n}.json"
+    kept: dict[int, str] = {}
 
-    def batch(points: DataFrame, _: int) -> None:
+    def batch(points: DataFrame, number: int) -> None:
         spark = points.sparkSession
-        points = points.persist()
+        tracker = Tracker(params, calibration, draws())
+        if number:
+            before = kept.get(number - 1)
+            tracker = tracker.restored(get_text(spark, place(number - 1)) if before is None else before, draws())
+        points = points.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            for row in points.select("frame_id").distinct().collect():
+            for row in points.select("frame_id").distinct().orderBy("frame_id").toLocalIterator():
                 frame = row["frame_id"]
-                if frame < first_frame + tracker.next_frame or frame in waiting:
-                    continue  # a repeated batch
+                if tracker.last is not None and frame <= tracker.last:
+                    raise ValueError(f"frame {frame} came after frame {tracker.last}")
                 own = points.where(F.col("frame_id") == frame).drop("frame_id")
-                waiting[frame] = (histogram(own).toArrow(), own.toArrow() if painted else None)
-            while (frame := first_frame + tracker.next_frame) in waiting:
-                table, full = waiting.pop(frame)
-                phase = "calibration" if tracker.next_frame < calibration else "tracking"
-                model, error = tracker.step(spark.createDataFrame(table))
+                phase = "calibration" if tracker.seen < calibration else "tracking"
+                model, error = tracker.step(histogram(own), frame)
                 sink(spark.createDataFrame(_rows(frame, phase, model, error), _schema(names)))
                 if painted:
-                    painted(frame, paint(spark.createDataFrame(full), model))
+                    painted(frame, paint(own, model))
         finally:
             points.unpersist()
+        kept.clear()
+        kept[number] = tracker.saved()
+        put_text(spark, place(number), kept[number])
+        if number > 1:
+            delete_path(spark, place(number - 2))
 
     return frames.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
 
 
-def showcase(frames: DataFrame, params: KMeansParams, height: int, width: int, path: str, sink: Callable[[DataFrame], None], checkpoint: str, calibration: int = CALIBRATION_FRAMES, draw: Callable[[], int] | None = None, first_frame: int = 0):
+def showcase(frames: DataFrame, params: KMeansParams, height: int, width: int, path: str, sink: Callable[[DataFrame], None], checkpoint: str, calibration: int = CALIBRATION_FRAMES, draws: Callable[[], Callable[[], int]] = seeding.Rand):
     """A stream that tracks a video and writes every painted frame as a PNG."""
     from chromalyne.operators.paint import as_image
     from chromalyne.sources.images import write_png
@@ -154,7 +188,30 @@ def showcase(frames: DataFrame, params: KMeansParams, height: int, width: int, p
     def painted(frame: int, points: DataFrame) -> None:
         write_png(as_image(points).withColumn("frame_id", F.lit(frame).cast("bigint")), height, width, path)
 
-    return track_stream(frames, params, sink, checkpoint, calibration, draw, painted, first_frame)
+    return track_stream(frames, params, sink, checkpoint, calibration, draws, painted)
+
+
+def showcase_batch(points: DataFrame, params: KMeansParams, height: int, width: int, path: str, calibration: int = CALIBRATION_FRAMES) -> DataFrame:
+    """The same over a table, as of raw frames: the video is tracked, then all frames are painted at once and written as PNG.
+    Returns what `track` does.
+
+    A frame's labels come from the prototypes it was clustered with before its last update, which the tracked rows don't
+    hold, so they are tracked here along with the rest: 2 k x d numbers a frame.
+    """
+    from chromalyne.sources.images import write_png
+
+    names = channel_names(points)
+    hist = histogram(points, ["frame_id"]).drop("first_idx").withColumn("video_id", F.lit(0).cast("bigint"))
+    tracked = written(_tracked(hist, names, params, calibration), "showcase")
+    cells = lambda prefix: F.array(*[F.col(f"{prefix}{c}") for c in names])
+    per = tracked.groupBy("frame_id").agg(F.array_sort(F.collect_list(F.struct("cid", cells("").alias("now"), cells("old_").alias("old")))).alias("m"))
+    joined = points.join(per, "frame_id")
+    own = F.array(*names)
+    nearest = F.array_min(F.transform("m", lambda x: F.struct(order_key(params.metric, own, x["old"], params.minkowski_p, len(names)).alias("d"), x["cid"].alias("cid"))))["cid"]
+    shade = F.element_at("m", nearest + 1)["now"]
+    painted = joined.select("frame_id", "idx", shade.alias("r")).select("frame_id", "idx", *[F.get("r", F.lit(i)).alias(c) for i, c in enumerate(names)])
+    write_png(painted, height, width, path)
+    return tracked.select("frame_id", "phase", "cid", "iterations", "error", *names)
 
 
 @dataclass
@@ -165,10 +222,11 @@ class FrameState:
     best: float = float("inf")
     now: Prototypes | None = None
 
-    def advance(self, colours: np.ndarray, weights: np.ndarray, params: KMeansParams, calibration: int) -> KMeansModel:
-        """Cluster the next frame. Each video draws from a stream of its own, k * d numbers per calibration frame."""
+    def advance(self, colours: np.ndarray, weights: np.ndarray, params: KMeansParams, calibration: int) -> tuple[KMeansModel, float | None]:
+        """Cluster the next frame; the error is given while calibrating. Each video draws from a stream of its own, k * d
+        numbers per calibration frame."""
         calibrating, d = self.seen < calibration, colours.shape[1]
-        first = self.now
+        first, error = self.now, None
         if calibrating or first is None:
             draw = seeding.Rand(0)
             for _ in range(self.seen * params.k * d):
@@ -184,30 +242,28 @@ class FrameState:
         else:
             self.now = model.prototypes
         self.seen += 1
-        return model
+        return model, error
 
 
 def _tracked_schema(names: list[str]) -> str:
     return "video_id long, frame_id long, cid int, iterations int, " + ", ".join(f"{c} int" for c in names)
 
 
-def track_many(points: DataFrame, params: KMeansParams, calibration: int = CALIBRATION_FRAMES) -> DataFrame:
-    """(video_id, frame_id, cid, iterations, c0..) of many videos at once: a video is sequential, videos are not.
-
-    Colours are counted per video and frame first. A task streams its videos' histograms frame by frame, sorted by the
-    shuffle, and holds one frame at a time.
-    """
-    names = channel_names(points)
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.int32()] * len(names)]
-    labels = ["video_id", "frame_id", "cid", "iterations", *names]
+def _tracked(hist: DataFrame, names: list[str], params: KMeansParams, calibration: int) -> DataFrame:
+    """(video_id, frame_id, phase, cid, iterations, error, c0.., old_c0..) from the histograms (video_id, frame_id, c0.., n) of videos."""
+    if params.metric not in ARRAYS:
+        raise ValueError(f"metric {params.metric!r} has no numpy form")
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.float64(), *[pa.int32()] * (2 * len(names))]
+    labels = ["video_id", "frame_id", "phase", "cid", "iterations", "error", *names, *[f"old_{c}" for c in names]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, cells, state = None, [], FrameState()
 
         def close() -> list[tuple]:
             block = np.concatenate(cells)
-            model = state.advance(block[:, :-1], block[:, -1], params, calibration)
-            return [(*key, cid, model.iterations, *q) for cid, q in enumerate(model.prototypes)]
+            phase = "calibration" if state.seen < calibration else "tracking"
+            model, error = state.advance(block[:, :-1], block[:, -1], params, calibration)
+            return [(*key, phase, cid, model.iterations, error, *q, *old) for cid, (q, old) in enumerate(zip(model.prototypes, model.label_prototypes))]
 
         for batch in batches:
             ids = np.column_stack([batch.column(c).to_numpy() for c in ("video_id", "frame_id")])
@@ -230,9 +286,20 @@ def track_many(points: DataFrame, params: KMeansParams, calibration: int = CALIB
         if key is not None:
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*close()), kinds)], labels)
 
-    hist = histogram(points, ["video_id", "frame_id"]).drop("first_idx")
-    rows = hist.repartition("video_id").sortWithinPartitions("video_id", "frame_id")
-    return rows.mapInArrow(run, _tracked_schema(names))
+    rows = hist.select("video_id", "frame_id", *names, "n").repartition("video_id").sortWithinPartitions("video_id", "frame_id")
+    schema = "video_id long, frame_id long, phase string, cid int, iterations int, error double, " + ", ".join(f"{c} int" for c in labels[6:])
+    return rows.mapInArrow(run, schema)
+
+
+def track_many(points: DataFrame, params: KMeansParams, calibration: int = CALIBRATION_FRAMES) -> DataFrame:
+    """(video_id, frame_id, cid, iterations, c0..) of many videos at once: a video is sequential, videos are not.
+
+    Colours are counted per video and frame first. A task streams its videos' histograms frame by frame, sorted by the
+    shuffle, and holds one frame at a time.
+    """
+    names = channel_names(points)
+    found = _tracked(histogram(points, ["video_id", "frame_id"]), names, params, calibration)
+    return found.select("video_id", "frame_id", "cid", "iterations", *names)
 
 
 def track_many_stream(points: DataFrame, params: KMeansParams, calibration: int = CALIBRATION_FRAMES) -> DataFrame:
@@ -250,7 +317,7 @@ def track_many_stream(points: DataFrame, params: KMeansParams, calibration: int
         rows = []
         for frame, own in pd.concat(parts).groupby("frame_id", sort=True):
             colours, weights = np.unique(own[names].to_numpy(np.int64), axis=0, return_counts=True)
-            model = state.advance(colours, weights, params, calibration)
+            model, _ = state.advance(colours, weights, params, calibration)
             rows += [(key[0], frame, cid, model.iterations, *q) for cid, q in enumerate(model.prototypes)]
         store.update((state.seen, state.best, [x for q in state.now or [] for x in q]))
         yield pd.DataFrame(rows, columns=["video_id", "frame_id", "cid", "iterations", *names])

@@ -212,3 +212,34 @@ def test_names():
     assert naming.image_output("a\\pic.x.png") == "a\\output_pic.x_clustered"
     assert naming.video_output("v/w.mov") == "v/output_w_clustered.mp4"
     assert naming.timing_output("video", 1920, 1080) == "results/video_1080.csv"
+
+
+def test_a_metric_without_a_numpy_form_works_on_small_histograms(spark):
+    from chromalyne.functions import distances
+
+    distances.register("mine", lambda a, b, p: distances.manhattan(a, b))
+    try:
+        df = spark.createDataFrame([(i, i % 7, (i * 5) % 11, i % 3) for i in range(60)], "idx long, c0 int, c1 int, c2 int")
+        first = [[0, 0, 0], [5, 5, 1], [6, 10, 2]]
+        own = lloyd.kmeans(df, lloyd.KMeansParams(3, metric="mine"), "k-means (any distance)", init_prototypes=first)
+        assert own.prototypes == lloyd.kmeans(df, lloyd.KMeansParams(3, metric="manhattan"), "k-means (any distance)", init_prototypes=first).prototypes
+        with pytest.raises(ValueError):
+            lloyd.fit_histogram(points.histogram(df), first, lloyd.KMeansParams(3, metric="mine"), "local")
+    finally:
+        del distances.METRICS["mine"]
+
+
+def test_wide_and_negative_channels(spark):
+    rows = [(0, -70_000, 5, 0), (1, -70_001, 6, 0), (2, 70_000, -5, 1), (3, 70_002, -8, 1), (4, -69_995, 5, 0)]
+    df = spark.createDataFrame(rows, "idx long, c0 int, c1 int, c2 int")
+    hist, first = points.histogram(df), [[-60_000, 0, 0], [60_000, 0, 0]]
+    models = [lloyd.fit_histogram(hist, first, lloyd.KMeansParams(2), s).prototypes for s in ("local", "groupby", "conditional")]
+    assert models[0] == models[1] == models[2] == [[-69998, 5, 0], [70001, -6, 1]]
+    moved = {r["cid"]: [r["c0"], r["c1"], r["c2"]] for r in lloyd.updated(hist, first).collect()}
+    assert moved == {0: [-69998, 5, 0], 1: [70001, -6, 1]}
+
+
+def test_farthest_points_agree_on_driver_and_cluster(spark):
+    df = spark.createDataFrame([(i, (i * 37) % 91, (i * 53) % 67, (i * 11) % 29) for i in range(400)], "idx long, c0 int, c1 int, c2 int")
+    hist = points.histogram(df)
+    assert seeding.farthest_points(hist, 6, [1, 2, 3]) == seeding.farthest_points(hist, 6, [1, 2, 3], most_cells=30)

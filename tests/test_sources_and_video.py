@@ -115,6 +115,84 @@ def test_stream_equals_batch_and_writes_every_frame(spark, folder, tmp_path):
     assert all(list(c[1:]) in want[c[0]] for c in colours)
 
 
+def test_a_stream_goes_on_after_a_restart_and_over_gaps(spark, tmp_path):
+    """Stopped after a few batches and started again from its checkpoint, with a frame number missing, it gives what `track` gives."""
+    clip = movie(9)
+    df = as_points(spark, clip).where("frame_id != 4")
+    source, rows = str(tmp_path / "in"), []
+
+    def run():
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        video.track_stream(stream, KMeansParams(3), lambda r: rows.extend(r.collect()), str(tmp_path / "p"), 3).trigger(availableNow=True).start().awaitTermination()
+
+    for first, last in ((0, 2), (2, 5), (5, 9)):  # one stops while it calibrates
+        for f in range(first, last):
+            video.frames_between(df, f, f + 1).coalesce(1).write.mode("append").parquet(source)
+        run()
+    want = video.track(df, KMeansParams(3), 3).collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, want)) and len(want) == 24
+    slow = video.track(df, KMeansParams(3), 3, seeding.Rand(0)).collect()  # given draws: a fit per frame
+    assert sorted(map(tuple, slow)) == sorted(map(tuple, want))
+
+
+def test_a_repeated_batch_gives_the_same_rows(spark, tmp_path):
+    """A batch that failed after its rows were written is run again from the state before it."""
+    df = as_points(spark, movie(5))
+    source, rows, fail = str(tmp_path / "in"), [], [3]
+
+    def sink(r):
+        found = r.collect()
+        rows.append(found)
+        if found[0]["frame_id"] in fail:
+            fail.clear()
+            raise RuntimeError("lost")
+
+    def run():
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        video.track_stream(stream, KMeansParams(3), sink, str(tmp_path / "p"), 2).trigger(availableNow=True).start().awaitTermination()
+
+    for f in range(5):
+        df.where(F.col("frame_id") == f).coalesce(1).write.mode("append").parquet(source)
+    with pytest.raises(Exception, match="lost"):
+        run()
+    run()
+    assert [r[0]["frame_id"] for r in rows] == [0, 1, 2, 3, 3, 4] and rows[3] == rows[4]
+    assert sorted(tuple(x) for r in rows[:3] + rows[4:] for x in r) == sorted(map(tuple, video.track(df, KMeansParams(3), 2).collect()))
+
+
+def test_a_late_frame_is_an_error(spark, tmp_path):
+    df = as_points(spark, movie(3))
+    for f in (1, 0):
+        df.where(F.col("frame_id") == f).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    with pytest.raises(Exception, match="came after"):
+        video.track_stream(stream, KMeansParams(3), lambda r: None, str(tmp_path / "p"), 2).trigger(availableNow=True).start().awaitTermination()
+
+
+def test_showcase_of_a_table_equals_the_stream(spark, folder, tmp_path):
+    points = images.pixels(images.read_images(spark, folder))
+    tables = {}
+    for kind in ("stream", "batch"):
+        out = str(tmp_path / kind)
+        if kind == "batch":
+            video.showcase_batch(points, KMeansParams(3), 4, 5, out, 2)
+        else:
+            stream = images.pixels(images.stream_images(spark, folder, 6))
+            video.showcase(stream, KMeansParams(3), 4, 5, out, lambda r: None, str(tmp_path / "progress"), 2).trigger(availableNow=True).start().awaitTermination()
+        tables[kind] = sorted(map(tuple, images.pixels(images.read_images(spark, out)).collect()))
+    assert tables["stream"] == tables["batch"] and len(tables["batch"]) == 120
+
+
+def test_showcase_command_reads_raw_frames(spark, tmp_path, capsys):
+    from chromalyne import cli
+
+    df = as_points(spark, movie(4))
+    images.write_raw(df, 4, 5, str(tmp_path / "clip.raw"))
+    assert cli.main(["video-showcase", "-v", str(tmp_path / "clip.raw"), "-shape", "4x5x3", "-k", "3", "-cf", "2"], spark) == 0
+    printed = capsys.readouterr().out.splitlines()
+    assert len(printed) == 4 and images.pixels(images.read_images(spark, printed[-1])).count() == 80
+
+
 def test_stateful_streams(spark, tmp_path):
     clip = movie(7)
     want = tracked(clip, 3)
