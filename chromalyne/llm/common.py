@@ -229,6 +229,11 @@ class Words:
 _WORD_KEY = "chromalyne words"
 
 
+def hashed_words(words: np.ndarray) -> np.ndarray:
+    """A keyed 64-bit hash (SipHash) of the bytes of every word, strings or bytes."""
+    return pd.util.hash_array(words, hash_key=_WORD_KEY, categorize=False)
+
+
 class Tokens:
     """The words `[^\\x20\\x09-\\x0D]+` of a column, told apart by their bytes: `words` are the distinct ones, `ids` says which
     follow each other, `first` where each row's begin."""
@@ -244,10 +249,7 @@ class Tokens:
         self.counts, self.first = counts, np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
 
     def hashes(self) -> np.ndarray:
-        """A keyed 64-bit hash (SipHash) of every word."""
-        if not len(self.words):
-            return np.zeros(0, np.uint64)
-        return pd.util.hash_array(self.words.to_numpy(zero_copy_only=False), hash_key=_WORD_KEY, categorize=False)[self.ids]
+        return hashed_words(self.words.to_numpy(zero_copy_only=False))[self.ids] if len(self.words) else np.zeros(0, np.uint64)
 
     def row_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.counts)), self.counts)
