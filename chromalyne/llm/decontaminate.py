@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chromalyne.llm.common import written
+
 #: The masks. A 1 is a word that the seed hashes, a 0 a word it ignores.
 MASKS = ("11011011", "1110100101")
 MIN_WORDS = 13
@@ -13,8 +15,8 @@ IDENTITY_EQUAL, IDENTITY_OF = 4, 5
 IDENTITY = IDENTITY_EQUAL / IDENTITY_OF
 #: What a mismatch costs the best-scoring segment that tests compare with; `overlaps` goes by IDENTITY alone.
 PENALTY = 3
-#: Benchmark seeds that are broadcast at most (a seed row is about 0.5 KB with its item's words).
-BROADCAST_SEEDS = 200_000
+#: Bytes of benchmark seeds that are broadcast at most; a seed row has SEED_BYTES and its item's key.
+BROADCAST_BYTES, SEED_BYTES = 32 << 20, 40
 
 
 def word_hashes(text: Column) -> Column:
@@ -23,26 +25,21 @@ def word_hashes(text: Column) -> Column:
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def seeds(hashes: Column, mask: str) -> Column:
-    """One seed for each position at which the mask fits, in order."""
+def seed(hashes: Column, place: Column, mask: str) -> Column:
+    """The seed of a mask at a place, null where the mask doesn't fit."""
     taken = [i for i, bit in enumerate(mask) if bit == "1"]
-    last = F.size(hashes) - len(mask)
-    places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda p: F.xxhash64(F.lit(mask), *[F.get(hashes, p + i) for i in taken]))
-
+    return F.when(place + len(mask) <= F.size(hashes), F.xxhash64(F.lit(mask), *[F.get(hashes, place + i) for i in taken]))
 
-def seeded(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """rows with an array column `h` to (keep..., mask, place, seed)."""
-    out = None
-    for n, mask in enumerate(MASKS):
-        part = rows.select(*keep, F.lit(n).alias("mask"), F.posexplode(seeds(F.col("h"), mask)).alias("place", "seed"))
-        out = part if out is None else out.unionByName(part)
-    return out
 
+def seeded(rows: DataFrame, keep: list[str], masks: list[str], fits: list[Column] | None = None) -> DataFrame:
+    """rows with an array column `h` to (keep..., place, seed): a row for each place and mask, those of `fits` alone.
 
-def _all_seeds(hashes: Column) -> Column:
-    """The seeds of every mask behind one another: one explode, so one pass over the words."""
-    return F.concat(*[seeds(hashes, m) for m in MASKS])
+    Places are exploded first, so that seeds are computed in generated code rather than in a lambda.
+    """
+    spread = rows.where(F.size("h") > 0).select(*keep, "h", F.explode(F.sequence(F.lit(0), F.size("h") - 1)).alias("place"))
+    found = [seed(F.col("h"), F.col("place"), m) for m in masks]
+    found = [F.when(f, x) for f, x in zip(fits, found)] if fits else found
+    return spread.select(*keep, "place", F.explode(F.array(*found)).alias("seed")).where("seed is not null")
 
 
 def _longest_stretch(at: Column) -> Column:
@@ -78,8 +75,7 @@ def _verified(rows: DataFrame) -> DataFrame:
     length = F.least(F.size("h") - from_doc, F.size("items_h") - from_item)
     equal = F.filter(F.sequence(F.lit(0), F.greatest(length, F.lit(1)) - 1), lambda i: F.get("h", from_doc + i) == F.get("items_h", from_item + i))
     needed = F.least(F.lit(MIN_WORDS), F.ceil(F.size("items_h") * F.lit(IDENTITY)))
-    # many seeds hit along one shift: it is looked at once, and not at all without enough equal words
-    found = rows.select("doc_id", "item_id", "shift", needed.alias("needed"), equal.alias("at")).where(F.size("at") >= F.col("needed")).distinct()
+    found = rows.select("doc_id", "item_id", "shift", needed.alias("needed"), equal.alias("at")).where(F.size("at") >= F.col("needed"))
     return found.withColumn("s", _longest_stretch(F.col("at"))).where(F.col("s.matches") >= F.col("needed")).select(
         "doc_id", "item_id",
         F.struct(
@@ -92,44 +88,41 @@ def _verified(rows: DataFrame) -> DataFrame:
 def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """Documents that share a passage with a benchmark item, up to substituted words.
 
-    Words are lower-cased runs of letters and digits. Seeds under MASKS of every place of the documents and the items
-    are joined; along each hit's shift the words of both are compared, and the longest stretch of which IDENTITY or more
-    are equal counts if it has at least MIN_WORDS equal words (of items with fewer than 17 words, IDENTITY of the item's
-    words). Returns a row per document and item that overlap: doc_id, item_id, matches, length (of the stretch, from its
-    first to its last equal word), doc_start and item_start (words).
-
-    Seeds of the items are broadcast only where they are counted to be at most BROADCAST_SEEDS; beyond that, seeds of
-    both sides are shuffled and the documents' words are joined again to the few hits. Null and empty texts and items
-    shorter than a mask have no seeds. Rows that repeat a key give one row per item, their best overlap. Rows with a
-    null key or null item are left out. Empty tables give no rows. Other columns are not read.
+    Words are lower-cased runs of letters and digits, compared by 64-bit hashes. Seeds under MASKS of every place of the
+    documents and the items are joined; along each hit's shift, once, the words of both are compared, and the longest
+    stretch of which IDENTITY or more are equal counts if it has at least MIN_WORDS equal words (of items with fewer than
+    17 words, IDENTITY of the item's words). An item shorter than a mask has one seed of all its words, so it is found
+    where they stand unchanged. Returns a row per document and item that overlap: doc_id, item_id, matches, length (of
+    the stretch, from its first to its last equal word), doc_start and item_start (words).
+
+    Seeds of the items (without their words) are broadcast only where they are counted to be at most BROADCAST_BYTES;
+    beyond that, seeds of both sides are shuffled. Hits are made distinct by (document, item, shift) and written; words of
+    both sides are joined to them, so only documents with a hit are split again. Long texts are seeded whole. Null and
+    empty texts have no seeds. Rows that repeat a key give one row per item, their best overlap: of most equal words,
+    then the longest, the earliest in the document, the earliest in the item. Rows with a null key or null item are
+    left out. Other columns are not read, so names can't clash. Empty tables give no rows.
     """
     own = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc_id"), word_hashes(F.col(text)).alias("h"))
-    items = benchmark.where(F.col(item).isNotNull()).select(F.col(item).alias("item_id"), word_hashes(F.col(item_text)).alias("items_h"))
-    small = items.agg(F.sum(len(MASKS) * F.size("items_h")).alias("n")).first()["n"] or 0
-    bench = seeded(items.withColumn("h", F.col("items_h")), ["item_id", "items_h"]).withColumnRenamed("place", "item_place").withColumnRenamed("mask", "item_mask")
-    # places of later masks follow those of earlier ones in the documents' arrays: how many each mask has is known from the words
-    firsts, before = [], F.lit(0)
-    for mask in MASKS:
-        firsts.append(before)
-        before = before + F.greatest(F.size("h") - (len(mask) - 1), F.lit(0))
-    shift = F.col("place") - F.element_at(F.array(*firsts), F.col("item_mask") + 1) - F.col("item_place")
-    spread = own.select("doc_id", "h", F.posexplode(_all_seeds(F.col("h"))).alias("place", "seed"))
-    if small <= BROADCAST_SEEDS:
-        hits = spread.join(F.broadcast(bench), "seed").select("doc_id", "h", "item_id", "items_h", shift.alias("shift"))
-    else:
-        sized = own.select("doc_id", F.size("h").alias("words"), F.posexplode(_all_seeds(F.col("h"))).alias("place", "seed"))
-        firsts, before = [], F.lit(0)
-        for mask in MASKS:
-            firsts.append(before)
-            before = before + F.greatest(F.col("words") - (len(mask) - 1), F.lit(0))
-        shift = F.col("place") - F.element_at(F.array(*firsts), F.col("item_mask") + 1) - F.col("item_place")
-        bare = sized.join(bench.drop("items_h"), "seed").select("doc_id", "item_id", shift.alias("shift")).distinct()
-        hits = bare.join(own, "doc_id").join(items, "item_id").where(F.col("shift") < F.size("h"))
-    best = _verified(hits).groupBy("doc_id", "item_id").agg(F.max("overlap").alias("o"))
+    items = benchmark.where(F.col(item).isNotNull()).select(F.col(item).alias("item_id"), word_hashes(F.col(item_text)).alias("h"))
+    shortest = min(map(len, MASKS))
+    sizes = items.select(F.size("h").alias("n"), (SEED_BYTES + F.octet_length(F.col("item_id").cast("string"))).alias("b")).groupBy(F.least("n", F.lit(shortest)).alias("n")).agg(F.sum(F.col("n") * F.col("b")).alias("b")).collect()
+    short = sorted(r["n"] for r in sizes if 0 < r["n"] < shortest)
+    masks = [*MASKS, *["1" * n for n in short]]
+    fits = [F.lit(True)] * len(MASKS) + [F.size("h") == n for n in short]
+    bench = seeded(items, ["item_id", "h"], masks, fits) if short else seeded(items, ["item_id", "h"], masks)
+    bench = bench.select("seed", "item_id", F.col("place").alias("item_place"))
+    # seeds of different masks differ, as a mask is part of what is hashed
+    if len(MASKS) * sum(r["b"] for r in sizes) <= BROADCAST_BYTES:
+        bench = F.broadcast(bench)
+    found = seeded(own, ["doc_id"], masks).join(bench, "seed").select("doc_id", "item_id", (F.col("place") - F.col("item_place")).alias("shift"))
+    hits = written(found.distinct(), "seed-hits")
+    again = hits.join(own, "doc_id").join(items.withColumnRenamed("h", "items_h"), "item_id").where(F.col("shift") < F.size("h"))
+    best = _verified(again).groupBy("doc_id", "item_id").agg(F.max("overlap").alias("o"))
     return best.select("doc_id", "item_id", "o.matches", "o.length", (-F.col("o.minus_doc")).alias("doc_start"), (-F.col("o.minus_item")).alias("item_start"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without those that overlap a benchmark item (see `overlaps`); all columns and clean rows stay, null keys too."""
+    """docs without those that overlap a benchmark item (see `overlaps`); all columns and clean rows stay, null keys too,
+    and of rows that repeat a key all go or none."""
     leaked = overlaps(docs, benchmark, key, text).select(F.col("doc_id").alias("__leaked")).distinct()
     return docs.join(leaked, docs[key] == F.col("__leaked"), "left_anti")
