@@ -32,6 +32,23 @@ def test_ids_of_odd_texts(reference):
         assert packing.encoder(PATH)(text) == reference(text), text[:20]
 
 
+def test_other_files_go_to_tokenizers(tmp_path):
+    import json
+
+    assert packing.encoder(PATH).engine == "tiktoken"
+    spec = json.load(open(PATH, encoding="utf-8"))
+    paths = [P.path("word_bpe_49k.json")]
+    first, second, *rest = spec["model"]["merges"]
+    for i, change in enumerate(({"normalizer": {"type": "Lowercase"}}, {"model": spec["model"] | {"merges": [second, first, *rest]}})):
+        paths.append(str(tmp_path / f"{i}.json"))
+        json.dump(spec | change, open(paths[-1], "w", encoding="utf-8"))
+    for path in paths:
+        slow = tokenizers.Tokenizer.from_file(path)
+        assert packing.encoder(path).engine == "tokenizers"
+        for text in ("The  Quick\tbrown the a at", "<|endoftext|> x", "ÉTÉ 12 a't"):
+            assert packing.encoder(path)(text) == slow.encode(text, add_special_tokens=False).ids
+
+
 def check(rows, texts, reference, capacity):
     sequences, docs = defaultdict(list), defaultdict(list)
     for r in rows:
