@@ -48,7 +48,21 @@ def _address(url: str) -> str:
     return rf"(case when {_host(url)} <> '' then concat(regexp_replace({_host(url)}, '^www\.', ''), regexp_replace({_path(url)}, '/+$', ''), case when {query} <> '' then concat('?', {query}) else '' end) end)"
 
 
-_TARGETS = " union all ".join(f"select url source, replace(regexp_extract(coalesce(html, ''), {_quoted(p)}, 1), '&amp;', '&') target from pages where regexp_matches(html, {_quoted(p)})" for p in LINKS)
+_TARGETS = " union ".join(f"select url source, replace(unnest(regexp_extract_all(coalesce(html, ''), {_quoted(p)}, 1)), '&amp;', '&') target from pages" for p in LINKS)
+
+
+def _flat(path: str) -> str:
+    parts = rf"list_transform(string_split(regexp_replace({path}, '(^|/)(\.\.?)$', '\1\2/'), '/'), lambda x: [x])"
+    return f"array_to_string(list_reduce({parts}, lambda s, x: case when x[1] = '..' then s[1:greatest(len(s) - 1, 1)] when x[1] = '.' then s else s || x end), '/')"
+
+
+def _resolved(source: str, target: str) -> str:
+    own, rest = f"regexp_extract({target}, '^[^?#]*', 0)", f"regexp_extract({target}, '^[^?#]*(.*)$', 1)"
+    folder = f"case when {_path(source)} = '' then '/' else regexp_replace({_path(source)}, '[^/]*$', '') end"
+    return f"""case when {target} = '' or starts_with({target}, '#') then null when regexp_matches({target}, '^[A-Za-z][A-Za-z0-9+.-]*://') then {target}
+  when regexp_matches({target}, '^[A-Za-z][A-Za-z0-9+.-]*:') then null when starts_with({target}, '//') then 'http:' || {target}
+  when starts_with({target}, '/') then concat('http://', {_host(source)}, {_flat(own)}, {rest}) when starts_with({target}, '?') then concat('http://', {_host(source)}, {_path(source)}, {target})
+  else concat('http://', {_host(source)}, {_flat(f"concat({folder}, {own})")}, {rest}) end"""
 
 
 def op9(rules: list[tuple[str, str, str]]) -> str:
@@ -62,7 +76,7 @@ def op9(rules: list[tuple[str, str, str]]) -> str:
     return f"""
 with recursive rules(rh, rp, verdict) as (values {values}),
 target as ({_TARGETS}),
-whole as (select source, case when contains(target, '://') then target when starts_with(target, '//') then 'http:' || target when starts_with(target, '/') then concat('http://', {_host('source')}, target) end target from target),
+whole as (select source, {_resolved('source', 'target')} target from target),
 link as (select distinct {_address('source')} u, {_address('target')} v, source, target from whole),
 edge as (select u, v from link where u is not null and v is not null union select v, u from link where u is not null and v is not null),
 page as (select page_id, {_host('url')} host, {_path('url')} path, {_address('url')} address, page_id key from pages),

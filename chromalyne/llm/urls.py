@@ -43,15 +43,40 @@ def address(url: Column) -> Column:
     return F.when(host != "", name)
 
 
+def _flat(path: Column) -> Column:
+    """A path without . and .. segments."""
+    whole = F.regexp_replace(path, r"(^|/)(\.\.?)$", "$1$2/")
+    empty = F.array().cast("array<string>")
+
+    def step(kept: Column, x: Column) -> Column:
+        return F.when(x == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(1)))).when(x == ".", kept).otherwise(F.concat(kept, F.array(x)))
+
+    return F.array_join(F.aggregate(F.split(whole, "/"), empty, step), "/")
+
+
+def resolved(source: Column, target: Column) -> Column:
+    """The url that a link's target names on a page; null for what is no address of its own (a fragment, mailto: and the like)."""
+    site, path = F.concat(F.lit("http://"), host_of(source)), path_of(source)
+    own = F.regexp_extract(target, r"^[^?#]*", 0)
+    rest = F.regexp_extract(target, r"^[^?#]*(.*)$", 1)
+    folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_replace(path, "[^/]*$", ""))
+    return (
+        F.when((target == "") | target.startswith("#"), F.lit(None).cast("string"))
+        .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
+        .when(target.startswith("//"), F.concat(F.lit("http:"), target))
+        .when(target.startswith("/"), F.concat(site, _flat(own), rest))
+        .when(target.startswith("?"), F.concat(site, path, target))
+        .otherwise(F.concat(site, _flat(F.concat(folder, own)), rest))
+    )
+
+
 def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(u, v): the url of each page and of its canonical link or refresh target. Relative targets keep the page's host."""
-    out = None
-    for pattern in LINKS:
-        target = F.regexp_extract(F.coalesce(F.col(html), F.lit("")), pattern, 1)
-        part = pages.where(F.col(html).rlike(pattern)).select(F.col(url).alias("source"), F.regexp_replace(target, "&amp;", "&").alias("target"))
-        out = part if out is None else out.unionByName(part)
-    whole = F.when(F.col("target").contains("://"), F.col("target")).when(F.col("target").startswith("//"), F.concat(F.lit("http:"), "target")).when(F.col("target").startswith("/"), F.concat(F.lit("http://"), host_of(F.col("source")), "target"))
-    return out.select(F.col("source").alias("u"), whole.alias("v"))
+    """(u, v): the url of each page and of each of its canonical links and refresh targets, relative ones resolved."""
+    body = F.coalesce(F.col(html), F.lit(""))
+    found = F.array_distinct(F.concat(*[F.regexp_extract_all(body, F.lit(p), F.lit(1)) for p in LINKS]))
+    spread = pages.where(body.rlike("|".join(f"({p})" for p in LINKS))).select(F.col(url).alias("source"), F.explode(found).alias("target"))
+    return spread.select(F.col("source").alias("u"), resolved(F.col("source"), F.regexp_replace("target", "&amp;", "&")).alias("v"))
 
 
 def judge(urls: DataFrame, rules: DataFrame, key: str = "key") -> DataFrame:
@@ -81,7 +106,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame, edges: DataFrame | None = No
     Addresses tied by links are one component. A page that a rule fits has the rule's verdict, so an explicit allow
     is never overruled by an alias. Any other page is blocked if an address of its component is blocked by a rule, and
     allowed otherwise. Addresses that are no page but that a link names are judged too. Null urls and urls without ://
-    have an empty host and path, no alias and are allowed. Repeated rows are judged alike. Blocked addresses, rules and
+    have an empty host and path, no alias and are allowed. The key is returned as it is and may be null or repeated;
+    repeated rows are judged alike. Of rules of equal length an allow wins. Long pages are searched whole. Only key,
+    url and html are read, so names of other columns can't clash. An empty table gives no rows. Blocked addresses, rules and
     components meet by joins on addresses and component names, large components by the skew join.
     """
     own = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), address(F.col(url)).alias("address"))

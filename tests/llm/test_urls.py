@@ -9,6 +9,9 @@ PAGES = [
     (5, "http://other.org/q", "<LINK HREF='http://clean.org/p' REL='canonical'>"), (6, "http://news.org/fr/1", '<meta http-equiv="refresh" content="0; url=http://spam.net/z">'),
     (7, "http://away.example/1", '<meta http-equiv="refresh" content="3;url=http://example.com/de/1">'), (8, None, None), (9, "no scheme", "x"), (10, "http://net", ""),
     (11, "http://net/", None), (12, "http://away.example/2", '<link rel="canonical" href="/1">'), (13, "http://x.example/?a=1&amp;b", ""), (14, "http://x.example/", ""), (14, "http://x.example/", ""),
+    (16, "http://rel.example/a/b.html?x=1", '<link rel=canonical href="../c/./d">'), (17, "http://rel.example/c/d", '<meta http-equiv=refresh content="0;url=e.html"><link rel="canonical" href="//spam.net/r">'),
+    (18, "http://rel.example/c/e.html", ""), (19, "http://rel.example/c/e.html?id=3", ""), (20, "http://rel.example/c/q", '<link rel="canonical" href="?id=3">'), (21, "http://rel.example/c/q?id=3", '<link rel="canonical" href="#top"><meta http-equiv="refresh" content="1; url=http://x.net/">'),
+    (22, "http://rel.example", '<link rel="canonical" href="mailto:a@spam.net">'), (23, "http://allowed.org/fr/", '<link rel="canonical" href="/z"><link rel="canonical" href="http://spam.net/w">'), (24, "http://allowed.org/z", ""),
     (None, "http://q.net/", ""), (15, "odd\n://H.Example.Net/en/\n?x", ""),
 ]
 
@@ -52,6 +55,22 @@ def test_rules_and_aliases(spark):
     # 3, 4 and 5 are aliases of a blocked address; 6 is too, but a rule allows it; 7 leads to a blocked path, 12 to 7; 10 is 11 without its slash
     assert verdicts == {3: "block", 4: "block", 5: "block", 6: "allow", 7: "block", 8: "allow", 9: "allow", 10: "block", 12: "block", 13: "allow", 14: "allow"}
     assert by[5]["alias_of"] == by[3]["alias_of"] and by[3]["verdict_by"] == "alias"
+    # 16 leads to 17 by a relative link, 17 to a blocked address and to 18; 20 to 21 by its query, 21 on to a blocked one; 23 is allowed by a rule, but its other name 24 is not
+    assert {i: by[i]["verdict"] for i in range(16, 25)} == {16: "block", 17: "block", 18: "block", 19: "allow", 20: "block", 21: "block", 22: "allow", 23: "allow", 24: "block"}
+
+
+def test_targets_are_resolved(spark):
+    from urllib.parse import urljoin
+
+    from pyspark.sql import functions as F
+
+    cases = [(s, t) for s in ("http://h.org/a/b/c.html?q#f", "http://h.org/a/", "http://h.org") for t in ("x", "./x", "../x", "../../../x", "..", ".", "x/../y?z=../w", "/p/./q/..", "?k=1", "//o.org/x", "https://o.org/../x", "x:y", "#f", "")]
+    rows = spark.createDataFrame(cases, "s string, t string").select("s", "t", urls.resolved(F.col("s"), F.col("t")).alias("v")).collect()
+    for r in rows:
+        if r["t"] in ("", "#f", "x:y"):
+            assert r["v"] is None
+        elif r["t"] != "https://o.org/../x":
+            assert r["v"] == urljoin(r["s"], r["t"]), (r["s"], r["t"])
 
 
 def test_given_redirects(spark):
