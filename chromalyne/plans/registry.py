@@ -283,9 +283,9 @@ def k_sweep_elbow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.k_sweep(inputs.px3_unordered(spark, sf_dir), SWEEP, with_silhouette=False)
 
 
-def _metrics_oracle() -> str:
+def _metrics_oracle(ks: range) -> str:
     parts, rows = [], []
-    for k in SWEEP:
+    for k in ks:
         old, new = sql.state_cells(k, "old"), sql.state_cells(k, "p")
         pick = [f"[{', '.join(q[i] for q in new)}][cid + 1]" for i in range(3)]
         parts.append(sql.lloyd(f"l{k}", k, f"select {sql.prototypes_literal(seeding.random_colours(k, 3, seeding.Rand(0)))} p"))
@@ -297,15 +297,15 @@ lab{k} as (select c0, c1, c2, any_value(n) n, arg_min(u.cid, (sqrt(((c0-u.r0)*(c
     return f"with recursive {PX3}, {HIST}, {', '.join(parts)}, sweep as ({' union all '.join(rows)})"
 
 
-def _sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    swept = quality.k_sweep(inputs.px3(spark, sf_dir), SWEEP, max_samples=SAMPLES)
+def _sweep(spark: SparkSession, sf_dir: str, ks: range) -> DataFrame:
+    swept = quality.k_sweep(inputs.px3(spark, sf_dir), ks, max_samples=SAMPLES)
     return swept.select("k", "elbow", F.round("silhouette", 6).alias("silhouette"))
 
 
-@query(f"{_metrics_oracle()} select * from sweep")
+@query(f"{_metrics_oracle(SWEEP)} select * from sweep")
 def k_sweep_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elbow and sampled silhouette for each k, as the metrics command writes them."""
-    return _sweep(spark, sf_dir)
+    return _sweep(spark, sf_dir, SWEEP)
 
 
 # frames
@@ -449,11 +449,14 @@ def bench_three_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.three_ways(t, moved(1, 5), moved(2, 0)).select("resolution", "best", F.round("fps", 9).alias("fps"), F.round("speedup", 9).alias("speedup"))
 
 
-@query(f"{_metrics_oracle()} select k::bigint k, 'elbow' curve, elbow as value from sweep union all select k::bigint, 'silhouette', silhouette from sweep")
+CURVES = range(2, 5)
+
+
+@query(f"{_metrics_oracle(CURVES)} select k::bigint k, 'elbow' curve, elbow as value from sweep union all select k::bigint, 'silhouette', silhouette from sweep")
 def bench_metric_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sweep written as the metrics file, read back and turned into curves."""
+    """A sweep written as the metrics file, read back and turned into curves."""
     path = scratch(spark, "metrics")
-    tables.write_metrics(_sweep(spark, sf_dir), path)
+    tables.write_metrics(_sweep(spark, sf_dir, CURVES), path)
     back = tables.read_timings(spark, path)
     return analytics.metric_curves(back.select(F.col("k").cast("bigint").alias("k"), F.col(f"`{tables.METRICS[0]}`").alias("elbow"), F.col(f"`{tables.METRICS[1]}`").alias("silhouette")))
 
