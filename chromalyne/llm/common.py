@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from chromalyne.sources.storage import scratch
+from chromalyne.sources.storage import delete_path, scratch
 
 
 #: Rows of texts in an Arrow batch of a written step at most; elsewhere Spark's own bound of 64 MB a batch holds.
@@ -75,11 +75,6 @@ class Temporary:
             delete_path(self.spark, path)
 
 
-def delete_path(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -19,15 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chromalyne.llm.common import Temporary, Tokens, batches_of, carried_row, delete_path, gathered, map_arrow, mix, release_memory, shuffles_released, slices, split_words, with_row
-from chromalyne.sources.storage import scratch
+from chromalyne.llm.common import Temporary, Tokens, batches_of, carried_row, gathered, map_arrow, mix, release_memory, shuffles_released, slices, split_words, with_row
+from chromalyne.sources.storage import delete_path, scratch
 
 WINDOW = 13
 SLICE_BYTES = 2 << 20
 #: Windows of the whole input that one part of a bucket or one hit group should have; their numbers grow with the input.
 PART_WINDOWS = 1_000_000
-#: Parts that share a bucket (a file of a run), and buckets at least and at most.
-PARTS_A_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 8, 64, 50_000
+#: Parts at least; parts that share a bucket (a file of a run) where there are more buckets than MANY; buckets at most.
+LEAST_PARTS, PARTS_A_BUCKET, MANY_BUCKETS, MOST_BUCKETS = 8, 8, 64, 50_000
 #: Common fingerprints that a task remembers, so that it sends each of them on once rather than once a slice.
 REMEMBERED = 1 << 16
 #: Claims of one owner that are verified against one copy of its text.
@@ -270,11 +270,11 @@ class FingerprintIndex:
     """
 
     def __init__(self, spark: SparkSession, expected_windows: int, window: int = WINDOW, fanout: int = 4, hash_bits: int = 64):
-        wanted = max(64, -(-expected_windows // PART_WINDOWS))
+        wanted = max(LEAST_PARTS, -(-expected_windows // PART_WINDOWS))
         self.spark, self.window, self.fanout, self.hash_bits = spark, window, fanout, hash_bits
         self.bits = (wanted - 1).bit_length()
         self.groups = 1 << self.bits
-        self.buckets = min(max(LEAST_BUCKETS, self.groups // PARTS_A_BUCKET), MOST_BUCKETS)
+        self.buckets = min(self.groups, max(MANY_BUCKETS, self.groups // PARTS_A_BUCKET), MOST_BUCKETS)
         self.path, self.table = scratch(spark, "fingerprints"), f"chromalyne_fingerprints_{uuid.uuid4().hex}"
         self.runs: list[int] = []
         self.batches = 0

@@ -151,7 +151,8 @@ def audio_features(docs: DataFrame, key: str = "doc_id", text: str = "text", ali
     tensors (an Arrow IPC stream of fixed-shape log-mel tensors), tensor_spans, segments (both in seconds) and mean_db.
     Null and empty texts are `align` spaces, whose constant energy has no segment. Values depend on the text alone, so
     repeated rows agree; texts equal within one batch are computed once. Very long texts are framed and resampled in
-    blocks. Only the key and text are read. An empty table gives no rows.
+    blocks. The key is a whole number (cast to long) and may be null. Only the key and text are read, so names of other
+    columns can't clash. An empty table gives no rows.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("n_frames", pa.int64()), ("tensors", pa.binary()), ("tensor_spans", pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))), ("segments", pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))), ("mean_db", pa.list_(pa.float32()))])
 

@@ -328,8 +328,9 @@ class _Search:
         return self.tmp.written(found.dropDuplicates(["id"]), "texts")
 
     def confirmed(self, pairs: DataFrame, texts: DataFrame, differences: bool = False) -> DataFrame:
-        fan = pairs.groupBy("a").agg(F.ceil(F.count("*") / 64).alias("fan"))
-        salted = pairs.join(fan, "a").select("a", "b", F.pmod(F.xxhash64("b"), "fan").alias("salt"))
+        counts = pairs.groupBy("a").agg(F.count("*").alias("n"))
+        fan = counts.where(F.col("n") > max(LEAST_HOT, pairs.count() // HOT)).select("a", F.ceil(F.col("n") / 64).alias("fan"))  # HOT rows at most
+        salted = pairs.join(F.broadcast(fan), "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), "fan"), F.lit(0)).alias("salt"))
         heads = salted.select("a", "salt").distinct().join(texts, F.col("a") == F.col("id")).select("a", "salt", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("b"), "text")
         tails = salted.join(texts, F.col("b") == F.col("id")).select("a", "salt", F.lit(1).alias("kind"), "b", "text")
         rows = heads.unionByName(tails).repartition("a", "salt").sortWithinPartitions("a", "salt", "kind")

@@ -54,8 +54,8 @@ def shard_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 
     Returns one row per input row: the key, size (UTF-8 bytes of the text, null none, plus 1), text_crc32, law
     (always "key"), shard, slot (0-based gapless place in its shard) and grown_shard (with one shard more; it is
-    `shard` or the new shard). Null keys share one shard. Repeated rows each get a slot. An empty table gives an
-    empty result. Other columns of docs are neither read nor returned, so their names can't clash.
+    `shard` or the new shard). Null keys share one shard. Repeated rows each get a slot; of rows alike in key, size
+    and checksum any may have the smaller one. Long texts are measured whole. An empty table gives an empty result. Other columns of docs are neither read nor returned, so their names can't clash.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     small = docs.select(

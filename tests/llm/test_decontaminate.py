@@ -131,16 +131,24 @@ def test_no_python_in_the_plan(spark):
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
 
 
+def longest_in(x, y, shift):
+    """Every stretch along a shift of which four fifths or more are equal: the most equal words."""
+    same = [x[i] == y[i - shift] for i in range(max(0, shift), min(len(x), shift + len(y)))]
+    found = 0
+    for i in range(len(same)):
+        for j in range(i + 1, len(same) + 1):
+            if 5 * sum(same[i:j]) >= 4 * (j - i):
+                found = max(found, sum(same[i:j]))
+    return found
+
+
 def longest_similar(x, y):
-    """Every shift that a seed hits, every stretch of which four fifths or more are equal: the most equal words."""
+    """The same over every shift that a seed hits."""
     found = 0
     for shift in range(-len(y) + 1, len(x)):
         same = [x[i] == y[i - shift] for i in range(max(0, shift), min(len(x), shift + len(y)))]
         hit = any(all(same[p + i] for i, bit in enumerate(m) if bit == "1") for m in d.MASKS for p in range(len(same) - len(m) + 1))
-        for i in range(len(same) if hit else 0):
-            for j in range(i + 1, len(same) + 1):
-                if 5 * sum(same[i:j]) >= 4 * (j - i):
-                    found = max(found, sum(same[i:j]))
+        found = max(found, longest_in(x, y, shift) if hit else 0)
     return found
 
 

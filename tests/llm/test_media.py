@@ -36,6 +36,27 @@ def test_tones_keep_their_place():
     assert np.abs(media.resample(np.sin(2 * np.pi * 7000 * t).astype(np.float32), 1, 2)[200:-200]).max() < 0.02
 
 
+def test_log_mel_equals_a_plain_computation():
+    """A sum over every sample and frequency for each frame, and triangles drawn one by one."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 0.3, media.FRAME + 3 * media.HOP).astype(np.float32)
+    got = media.log_mel(x)
+    n = np.arange(media.FRAME)
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * n / (media.FRAME - 1))
+    mel = lambda f: 2595 * np.log10(1 + f / 700)
+    points = [700 * (10 ** (m / 2595) - 1) for m in np.linspace(0, mel(media.TO_RATE / 2), media.MELS + 2)]
+    for k in range(4):
+        part = x[k * media.HOP :][: media.FRAME] * window
+        power = [abs(np.sum(part * np.exp(-2j * np.pi * f * n / media.FFT))) ** 2 for f in range(media.FFT // 2 + 1)]
+        for b in range(media.MELS):
+            low, mid, high = points[b : b + 3]
+            total = 0.0
+            for f, p in enumerate(power):
+                hz = f * media.TO_RATE / media.FFT
+                total += p * max(0.0, min((hz - low) / (mid - low), (high - hz) / (high - mid)))
+            assert got[k, b] == pytest.approx(10 * np.log10(total + 1e-8), abs=0.02)
+
+
 def test_hysteresis_holds_between_thresholds():
     assert media.segments(np.array([0.0, 1, 0.5, 0.5, 0.3, 0.5, 0.7, 0.0])).tolist() == [[1, 4], [6, 7]]
     assert media.segments(np.full(9, 3.0)).tolist() == []

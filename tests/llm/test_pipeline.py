@@ -4,7 +4,7 @@ import pytest
 
 import corpus_pipeline as c
 from chromalyne.llm import packing
-from helpers import none, prose
+from helpers import awkward, none, prose
 from test_fingerprint_index import WORD
 from test_near_dedup import altered
 from test_near_dedup import expected as near_expected
@@ -64,6 +64,20 @@ def test_run_packs_what_is_left(spark, folder):
     check(c.run(spark, folder).collect(), texts, lambda x: t.encode(x, add_special_tokens=False).ids, 2048)
 
 
+def test_stages_take_awkward_rows_and_names(spark, folder):
+    """Nulls, empty and long texts, repeated rows, and columns named like the operators' own."""
+    table = awkward(spark)
+    for name, stage in c.STAGES[:-1]:
+        out = c.written(stage(spark, table, folder), name)
+        assert out.columns == table.columns and out.dtypes == table.dtypes
+        gone = table.select("doc_id").exceptAll(out.select("doc_id")).collect()
+        assert {r["doc_id"] for r in gone} == ({1, 7} if name == "near_duplicates" else set())
+        if name != "substring_dedup":
+            assert out.exceptAll(table).count() == 0
+        table = out
+    assert c.STAGES[-1][1](spark, table, folder).select("doc_id").distinct().count() == table.select("doc_id").distinct().count()
+
+
 def test_stages_take_empty_tables(spark, folder):
     empty = none(spark).select("doc_id", "text", "lang", "source", "n_chars")
     for _, stage in c.STAGES:
