@@ -1,4 +1,11 @@
-"""A training corpus from `documents` in five stages, each the production operator of chromalyne.llm on all that the stage before kept."""
+"""A training corpus from `documents` in five stages, each the production operator of chromalyne.llm on all that the stage before kept.
+
+All stages but the last return the columns they got, in their order, whatever other columns there are and however they
+are named: operators see the key and the text alone, other columns are carried unseen or joined back by the key. Keys
+are whole numbers. Null and empty texts are clean documents without words: they pass every filter and are packed as one
+end id. Rows with a null key pass the second to fourth stages untouched. Long texts are read whole. Empty tables stay
+empty. What rows that repeat a key become is said at each stage.
+"""
 
 from __future__ import annotations
 
@@ -19,30 +26,36 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score of TOXIC_SCORE or more go. The tagger learns from labels of this stage's documents."""
+    """Documents with a toxicity score of TOXIC_SCORE or more go. The tagger learns from labels of this stage's documents.
+
+    Every row is judged by its own text, rows with a null key too; a score of exactly TOXIC_SCORE goes."""
     tagger = toxicity.learn(docs, table(spark, sf_dir, "labels"))
     return toxicity.tag_toxicity(docs, tagger, carry=True).where(F.col("score") < TOXIC_SCORE).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component over shingles of five words and a similarity of 0.8 the document with the smallest doc_id stays."""
+    """Of each component over shingles of five words and a similarity of 0.8 the document with the smallest doc_id stays.
+
+    Rows that repeat a key are one document: all stay or all go."""
     return _without(docs, near_dedup.near_duplicates(docs, NEAR).where(~F.col("kept")))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of passages of 13 words or more that a document with a smaller doc_id has too go; n_chars follows the text."""
+    """Words of passages of 13 words or more that a document with a smaller doc_id has too go; n_chars follows the text.
+
+    Every row stays, if only with an empty text. Rows that repeat a key are trimmed each by its own words."""
     found = fingerprint_index.dedup_substrings(docs, carry=True)
     own = {"text": F.col("kept_text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("row.n_chars"))}
     return found.select(*[own.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap a benchmark item go."""
+    """Documents that overlap a benchmark item go. Rows that repeat a key all go if one of them overlaps."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens: a row per piece."""
+    """Sequences of at most 2048 tokens: a row per piece. Every row is packed, repeated ones and those with a null key too."""
     return packing.pack_documents(docs, tokenizer_path(), capacity=2048, end_id=1)
 
 
@@ -54,7 +67,8 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: No stage but the fourth is expressible in SQL; tests hold run() against brute force.
+#: run()'s rows come from a trained tagger and a tokenizer, which SQL can't express; tests hold the stages to plain
+#: computations on their own inputs (the second and third are the operators of op7 and op5, which have SQL).
 ORACLE_SQL = None
 
 
