@@ -7,7 +7,7 @@ from chromalyne import cli
 from chromalyne.operators import lloyd, seeding
 from chromalyne.operators.lloyd import KMeansParams
 from chromalyne.plans import analytics
-from chromalyne.sources import images, tables
+from chromalyne.sources import images, storage, tables
 from chromalyne.streaming import video
 
 
@@ -115,6 +115,18 @@ def test_stream_equals_batch_and_writes_every_frame(spark, folder, tmp_path):
     assert all(list(c[1:]) in want[c[0]] for c in colours)
 
 
+def test_scratch_tables_can_be_cleared(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(storage, "_given", [])
+    df = storage.written(spark.range(5), "five")
+    path = storage._given[0]
+    assert df.count() == 5 and storage.exists(spark, path)
+    storage.clear(spark)
+    assert not storage.exists(spark, path) and not storage._given
+    storage.put_text(spark, str(tmp_path / "a.json"), "{1}")
+    storage.put_text(spark, str(tmp_path / "a.json"), "{2}")
+    assert storage.get_text(spark, str(tmp_path / "a.json")) == "{2}"
+
+
 def test_a_stream_goes_on_after_a_restart_and_over_gaps(spark, tmp_path):
     """Stopped after a few batches and started again from its checkpoint, with a frame number missing, it gives what `track` gives."""
     clip = movie(9)
