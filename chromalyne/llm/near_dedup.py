@@ -379,7 +379,7 @@ class _Search:
     def candidates(self) -> tuple[DataFrame, DataFrame]:
         """Near pairs (pivot, member) and far pairs, of all levels."""
         rows = self.tmp.written(map_arrow(self.reps.select("rep", "sig"), _band_keys(self.params), "bucket long, rep long"), "bands")
-        near, far = None, None
+        near, far = [], []
         for level in range(LEVELS):
             total = rows.count()
             buckets = self.buckets(rows, total)
@@ -387,14 +387,14 @@ class _Search:
             mixed = self.mixed(buckets, close, total)
             large = (F.col("members") > self.params.large) & F.lit(level < LEVELS - 1)
             apart = self.far(mixed.where(~large))
-            near, far = (close, apart) if near is None else (near.union(close), far.union(apart))
+            near, far = [*near, close], [*far, apart]
             again = mixed.where(large)
             if again.isEmpty():
                 break
             # the pivot was compared with every member; the others meet in buckets of further hashes
             signed = again.select("bucket", "rep").join(self.reps.select("rep", "sig"), "rep")
             rows = self.tmp.written(map_arrow(signed.repartition("bucket", F.pmod(F.xxhash64("rep"), F.lit(64))), _inner_keys(self.params, level), "bucket long, rep long"), "bands")
-        return near.distinct(), far.distinct()
+        return tuple(x[0] if len(x) == 1 else self.tmp.written(functools.reduce(DataFrame.union, x).distinct(), "candidates") for x in (near, far))
 
     def across(self, stars: DataFrame, groups: DataFrame, every: bool = False) -> DataFrame:
         """(a, b): links between near members of one pivot whose components differ, as their hashes tell."""
@@ -411,7 +411,7 @@ class _Search:
         return self.tmp.written(map_arrow(blocks, _star_blocks(self.params, every), "a long, b long").distinct(), "across")
 
     def links(self) -> DataFrame:
-        near, far = (self.tmp.written(x, "candidates") for x in self.candidates())
+        near, far = self.candidates()
         texts = self.texts(near.union(far))
         stars = self.confirmed(near, texts, differences=True)
         found = stars.unionByName(self.confirmed(far, texts)).where("linked").select("a", "b")
