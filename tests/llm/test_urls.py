@@ -99,6 +99,34 @@ def test_empty_tables(spark):
     assert {r["verdict"] for r in urls.filter_urls(table(spark), rules(spark).where("false")).collect()} == {"allow"}
 
 
+def test_sql_agrees_on_the_drivers_pages_with_links_added(spark):
+    """The 250 pages of sf0.01 with random links among them, a chain and two allowed pages on it."""
+    import random
+
+    import duckdb
+
+    from chromalyne.llm import oracles
+
+    r = random.Random(6)
+    pages = [tuple(x) for x in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html").collect()]
+    urls_of = [p[1] for p in pages]
+    rows = []
+    for i, (key, url, html) in enumerate(pages):
+        link = "" if r.random() < 0.6 else f'<link rel="canonical" href="{r.choice([r.choice(urls_of), "../x", "?a=1", "/en/"])}">'
+        rows.append((key, url, html.replace("<title>", link + "<title>")))
+    rows += [(90_000 + i, f"http://c{i}.example.org/{'fr' if i in (3, 9) else 'de'}/", f'<meta http-equiv="refresh" content="0;url=http://c{i + 1}.example.org/{"fr" if i + 1 in (3, 9) else "de"}/">') for i in range(30)]
+    rows.append((91_000, "http://c30.example.org/de/", '<link rel="canonical" href="http://x.net/">'))
+    con = duckdb.connect()
+    con.execute("create table pages(page_id bigint, url varchar, html varchar)")
+    con.executemany("insert into pages values (?, ?, ?)", rows)
+    want = sorted(con.execute(f"select page_id, host, path, rule, verdict from ({oracles.op9(RULES)})").fetchall(), key=str)
+    got = urls.filter_urls(table(spark, rows), rules(spark))
+    assert sorted(map(tuple, got.select("page_id", "host", "path", "rule", "verdict").collect()), key=str) == want
+    by = {x["page_id"]: x for x in got.collect()}
+    assert all(by[90_000 + i]["verdict"] == ("allow" if i in (3, 9) else "block") for i in range(30))
+    assert sum(x["verdict_by"] == "alias" for x in by.values()) > 30
+
+
 def test_sql_agrees_on_pages_with_links(spark):
     import duckdb
 
