@@ -294,34 +294,32 @@ def training_rows(rows: DataFrame, by: str, most: int, most_bytes: int, key: str
     hash of the key: (key, text, by, place), or None without any. So it has most * most_classes rows at most.
 
     The bounds are the caller's documented parameters; texts over most_bytes (UTF-8) are not used for training, and of rows
-    that repeat a key the smallest text is. Hashes under a limit set from the counts are ranked without their texts, so
-    a window sees little more than `most` rows of a class of any size; the texts are joined to the ranks.
+    that repeat a key the smallest text is. `place` orders a class. Hashes under a limit set from the counts, little more
+    than `most` of a class of any size, come to the driver without keys or texts; it finds the last hash to take.
     """
     spark = rows.sparkSession
     short = F.col(by).isNotNull() & (F.octet_length(F.col(text)) <= most_bytes)
     tmp = Temporary(spark)
-    keyed = tmp.written(rows.where(short).select(F.col(by).alias("by"), F.col(key).alias("key"), F.xxhash64(key).alias("hash")), "labelled")
+    keyed = tmp.written(rows.where(short).select(F.col(by).alias("by"), F.xxhash64(key).alias("place")), "labelled")
     counts = {r["by"]: r["n"] for r in keyed.groupBy("by").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "by").limit(most_classes).collect()}
-    if not counts:
-        tmp.drop()
-        return None
+    kind = T.StructType([T.StructField("by", keyed.schema["by"].dataType), T.StructField("last", T.LongType())])
     share = {c: min(1.0, (most + 6 * most**0.5 + 16) / n) for c, n in counts.items()}
-    kind = keyed.schema["by"].dataType
-    while True:
-        limits = [(c, int(min((1 << 63) - 1, -(1 << 63) + x * 2.0**64))) for c, x in share.items()]
-        limit = spark.createDataFrame(limits, T.StructType([T.StructField("by", kind), T.StructField("limit", T.LongType())]))
-        under = keyed.join(F.broadcast(limit), "by").where(F.col("hash") <= F.col("limit")).groupBy("by", "key").agg(F.min("hash").alias("hash"))
-        found = {r["by"]: r["n"] for r in under.groupBy("by").agg(F.count("*").alias("n")).collect()}
-        few = [c for c, x in share.items() if x < 1 and found.get(c, 0) < most]
-        if not few:
-            break
-        share |= {c: min(1.0, share[c] * 4) for c in few}  # a class of few keys, repeated often
-    top = Window.partitionBy("by").orderBy("hash", "key")
-    ranked = written(under.withColumn("place", F.row_number().over(top)).where(F.col("place") <= most).select(F.col("by").alias("__b"), F.col("key").alias("__k"), "place"), "ranked")
+    lasts: list[tuple] = []
+    while share:
+        limits = spark.createDataFrame([(c, int(min((1 << 63) - 1, -(1 << 63) + x * 2.0**64))) for c, x in share.items()], kind)
+        under = keyed.join(F.broadcast(limits), "by").where(F.col("place") <= F.col("last")).select("by", "place").distinct()
+        found: dict = {c: [] for c in share}
+        for r in under.collect():
+            found[r["by"]].append(r["place"])
+        done = {c for c, x in share.items() if x >= 1 or len(found[c]) >= most}
+        lasts += [(c, sorted(found[c])[:most][-1]) for c in done]
+        share = {c: min(1.0, 4 * x) for c, x in share.items() if c not in done}  # classes of few keys that are repeated often
     tmp.drop()
-    own = rows.where(short).select(F.col(by).alias("by"), F.col(key).alias("key"), F.col(text).alias("text"))
-    joined = own.join(F.broadcast(ranked), (F.col("by") == F.col("__b")) & F.col("key").eqNullSafe(F.col("__k")))
-    return joined.groupBy("key", "by", "place").agg(F.min("text").alias("text")).select("key", "text", "by", "place")
+    if not lasts:
+        return None
+    own = rows.where(short).select(F.col(by).alias("by"), F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(key).alias("place"))
+    taken = own.join(F.broadcast(spark.createDataFrame(lasts, kind)), "by").where(F.col("place") <= F.col("last"))
+    return taken.groupBy("key", "by", "place").agg(F.min("text").alias("text")).select("key", "text", "by", "place")
 
 
 def fitted(sample: DataFrame, columns: list[str], fit: Callable[[list[tuple]], object]) -> object:
