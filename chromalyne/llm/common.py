@@ -289,18 +289,19 @@ def gapless_rank(df: DataFrame, group: list[str], order: list[str], out: str, ro
     return joined.select(*df.columns, F.col(out).cast("long").alias(out))
 
 
-def training_rows(rows: DataFrame, by: str, most: int, most_bytes: int, key: str = "doc_id", text: str = "text", most_classes: int = 100) -> DataFrame | None:
+def training_rows(rows: DataFrame, by: str, most: int, most_bytes: int, key: str = "doc_id", text: str = "text", most_classes: int = 100, texts: DataFrame | None = None) -> DataFrame | None:
     """At most `most` rows for each of the most_classes most frequent values of `by` (ties: the smaller value), the first by a
     hash of the key: (key, text, by, place), or None without any. So it has most * most_classes rows at most.
 
     The bounds are the caller's documented parameters; texts over most_bytes (UTF-8) are not used for training, and of rows
     that repeat a key the smallest text is. `place` orders a class. Hashes under a limit set from the counts, little more
-    than `most` of a class of any size, come to the driver without keys or texts; it finds the last hash to take.
+    than `most` of a class of any size, come to the driver without keys or texts; it finds the last hash to take. The keys
+    taken are broadcast to the texts, which come from `texts` (key and text, and `by` if rows of a key differ in it) or rows.
     """
     spark = rows.sparkSession
     short = F.col(by).isNotNull() & (F.octet_length(F.col(text)) <= most_bytes)
     tmp = Temporary(spark)
-    keyed = tmp.written(rows.where(short).select(F.col(by).alias("by"), F.xxhash64(key).alias("place")), "labelled")
+    keyed = tmp.written(rows.where(short).select(F.col(by).alias("by"), F.col(key).alias("key"), F.xxhash64(key).alias("place")), "labelled")
     counts = {r["by"]: r["n"] for r in keyed.groupBy("by").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "by").limit(most_classes).collect()}
     kind = T.StructType([T.StructField("by", keyed.schema["by"].dataType), T.StructField("last", T.LongType())])
     share = {c: min(1.0, (most + 6 * most**0.5 + 16) / n) for c, n in counts.items()}
@@ -314,12 +315,17 @@ def training_rows(rows: DataFrame, by: str, most: int, most_bytes: int, key: str
         done = {c for c, x in share.items() if x >= 1 or len(found[c]) >= most}
         lasts += [(c, sorted(found[c])[:most][-1]) for c in done]
         share = {c: min(1.0, 4 * x) for c, x in share.items() if c not in done}  # classes of few keys that are repeated often
-    tmp.drop()
     if not lasts:
+        tmp.drop()
         return None
-    own = rows.where(short).select(F.col(by).alias("by"), F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(key).alias("place"))
-    taken = own.join(F.broadcast(spark.createDataFrame(lasts, kind)), "by").where(F.col("place") <= F.col("last"))
-    return taken.groupBy("key", "by", "place").agg(F.min("text").alias("text")).select("key", "text", "by", "place")
+    taken = keyed.join(F.broadcast(spark.createDataFrame(lasts, kind)), "by").where(F.col("place") <= F.col("last")).select("by", "key", "place").distinct()
+    taken = written(taken.withColumnsRenamed({"key": "__k", "by": "__b"}), "taken")
+    tmp.drop()
+    own = (rows if texts is None else texts).where(F.octet_length(F.col(text)) <= most_bytes)
+    same = F.col(key).eqNullSafe(F.col("__k"))
+    joined = own.join(F.broadcast(taken), same & (F.col(by) == F.col("__b")) if by in own.columns else same)
+    joined = joined.select(F.col(key).alias("key"), F.col("__b").alias("by"), "place", F.col(text).alias("text"))
+    return joined.groupBy("key", "by", "place").agg(F.min("text").alias("text")).select("key", "text", "by", "place")
 
 
 def fitted(sample: DataFrame, columns: list[str], fit: Callable[[list[tuple]], object]) -> object:

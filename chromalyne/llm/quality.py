@@ -112,7 +112,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     marks = labels.where((crc_rest(key, 3) != 1) & F.col(label).isin(0, 1)).select(F.col(key).alias("__id"), F.col(label).cast("int").alias("__y")).dropDuplicates(["__id"])
     rates = {r["__y"]: r["n"] for r in marks.groupBy("__y").agg(F.count("*").alias("n")).collect()}
     rows = docs.select(F.col(key).alias("__id"), F.col(text).alias("__text")).join(marks, "__id")
-    sample = training_rows(rows, "__y", a_class, most_bytes, "__id", "__text")
+    sample = training_rows(rows, "__y", a_class, most_bytes, "__id", "__text", texts=docs.select(F.col(key).alias("__id"), F.col(text).alias("__text")))
     prior = (rates.get(1, 0) + 1) / (sum(rates.values()) + 2)
 
     def fit_rows(held: list[tuple]) -> Evidence:
