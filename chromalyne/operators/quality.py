@@ -16,6 +16,8 @@ from chromalyne.operators.points import channel_names, channels, histogram
 
 #: Rows of a table that is broadcast against all others at most.
 BROADCAST_ROWS = 200_000
+#: Points that are ranked for a sample, as a multiple of its size.
+RANKED = 8
 
 
 def elbow_error(painted: DataFrame, name: str = "euclidean", p: float = MINKOWSKI_P) -> DataFrame:
@@ -62,7 +64,8 @@ def _silhouette(anchors: DataFrame, everyone: DataFrame, names: list[str], name:
     d = metric(name)([F.col(x) for x in cells], [F.col(c) for c in names], p).cast("double")
     times = F.col("n") - F.when(same & (F.col("cid") == F.col("own")), 1).otherwise(0)
     few = a.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    pairs = F.broadcast(a).crossJoin(everyone) if few else a.crossJoin(everyone)
+    # few colours are in one partition, yet their pairs with the anchors are the work
+    pairs = F.broadcast(a).crossJoin(everyone.repartition(everyone.sparkSession.sparkContext.defaultParallelism, *names)) if few else a.crossJoin(everyone)
     per = pairs.groupBy("own", *cells, "weight", "cid").agg(F.sum(d * times).alias("total"), F.sum(times).alias("count"))
     mean = F.when(F.col("count") > 0, F.col("total") / F.col("count")).otherwise(0.0)
     both = per.groupBy("own", *cells, "weight").agg(
@@ -84,56 +87,78 @@ def sample_order(place: Column) -> Column:
     return F.md5(place.cast("string"))
 
 
-def stratified_sample(points: DataFrame, max_samples: int, sizes: DataFrame | None = None) -> DataFrame:
-    """Of each cluster max(1, floor(max_samples * size / total)) points, the first by sample_order.
+def foremost(points: DataFrame, max_samples: int, total: int) -> DataFrame:
+    """Of total points those that sample_order puts first, about RANKED * max_samples: the order is uniform, so a bound on
+    it takes them in one scan without a sort. They do not depend on labels, so samples of many labellings draw from them."""
+    share = RANKED * max_samples / max(total, 1)
+    if share >= 1:
+        return points
+    return points.where(F.coalesce(sample_order(F.col("idx")) < f"{int(share * 16**15):015x}", F.lit(True)))  # no place comes first
 
-    Quotas are computed in 64 bits. The rank filter lets every task keep only its first max_samples points of a cluster
-    before the shuffle. sizes (cid, size): the clusters' sizes where they are known.
-    """
-    sizes = points.groupBy("cid").agg(F.count("*").alias("size")) if sizes is None else sizes
-    sizes = sizes.crossJoin(sizes.agg(F.sum("size").alias("total")))  # k rows and one
-    first = Window.partitionBy("cid").orderBy(sample_order(F.col("idx")), "idx")
-    ranked = points.withColumn("place", F.row_number().over(first)).where(F.col("place") <= max_samples)
-    quota = F.greatest(F.lit(1), F.floor(F.lit(max_samples).cast("bigint") * F.col("size") / F.col("total")))
-    return ranked.join(F.broadcast(sizes), "cid").where(F.col("place") <= quota).drop("place", "size", "total")
 
+def stratified_sample(points: DataFrame, max_samples: int, sizes: dict[int, int] | None = None, first: DataFrame | None = None) -> DataFrame:
+    """Of each cluster max(1, floor(max_samples * size / total)) points, the first by sample_order.
 
-def silhouette_sampled(points: DataFrame, max_samples: int, name: str = "euclidean", p: float = MINKOWSKI_P, everyone: DataFrame | None = None) -> DataFrame:
+    Only the foremost points are ranked; of a cluster that has fewer of them than its quota (a very small one) all
+    points are. Quotas are whole numbers of any size. sizes: the clusters' points, where they are known; first: the
+    foremost points with their labels, where they are there.
+    """
+    if sizes is None:
+        sizes = {r["cid"]: r["count"] for r in points.groupBy("cid").count().collect()}  # k rows
+    total = sum(sizes.values())
+    quotas = {cid: max(1, max_samples * size // total) for cid, size in sizes.items() if cid is not None}
+    first = foremost(points, max_samples, total) if first is None else first
+    there = {r["cid"]: r["count"] for r in first.groupBy("cid").count().collect()}  # k rows
+    short = [cid for cid, quota in quotas.items() if there.get(cid, 0) < min(quota, sizes[cid])]
+    if short:
+        first = first.where(~F.col("cid").isin(short)).unionByName(points.where(F.col("cid").isin(short)))
+    order = Window.partitionBy("cid").orderBy(sample_order(F.col("idx")), "idx")
+    ranked = first.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max(1, max_samples))
+    quota = points.sparkSession.createDataFrame(list(quotas.items()), f"cid {points.schema['cid'].dataType.simpleString()}, quota bigint")
+    return ranked.join(F.broadcast(quota), "cid").where("place <= quota").drop("place", "quota")
+
+
+def silhouette_sampled(points: DataFrame, max_samples: int, name: str = "euclidean", p: float = MINKOWSKI_P, everyone: DataFrame | None = None, first: DataFrame | None = None) -> DataFrame:
     """The mean silhouette of a stratified sample of labelled points (idx, channels, cid); distances still go to all points.
 
     With at most max_samples points, all of them are anchors. Anchors of one colour and cluster are one, with their
     number as weight; their rows are bounded by max_samples and the number of clusters. everyone: the labelled histogram
-    (channels, cid, n) where there is one; points are then scanned for the sample alone.
+    (channels, cid, n) where there is one; points are then scanned for the sample alone. first: the foremost points with
+    their labels, where they are there; points are then scanned for very small clusters alone.
     """
     names = channel_names(points)
     everyone = points.groupBy("cid", *names).agg(F.count("*").alias("n")) if everyone is None else everyone.select("cid", *names, "n")
-    sizes = everyone.groupBy("cid").agg(F.sum("n").alias("size"))
-    if (sizes.agg(F.sum("size").alias("n")).first()["n"] or 0) <= max_samples:
+    sizes = {r["cid"]: r["size"] for r in everyone.groupBy("cid").agg(F.sum("n").alias("size")).collect()}  # k rows
+    if sum(sizes.values()) <= max_samples:
         return _silhouette(everyone.withColumn("weight", F.col("n")), everyone, names, name, p)
-    sample = stratified_sample(points, max_samples, sizes).groupBy("cid", *names).agg(F.count("*").alias("weight"))
+    sample = stratified_sample(points, max_samples, sizes, first).groupBy("cid", *names).agg(F.count("*").alias("weight"))
     return _silhouette(sample, everyone, names, name, p)
 
 
 def k_sweep(points: DataFrame, ks: range = range(2, 11), params: KMeansParams | None = None, max_samples: int = 5000, draw: Callable[[], Callable[[], int]] = lambda: seeding.Rand(0), with_silhouette: bool = True) -> DataFrame:
-    """A row (k, elbow, silhouette) for every k: random colours from a fresh stream, Euclidean distance. The histogram is
-    built once and shared by all fits; a k gives one row, so the rows are gathered as they come."""
+    """A row (k, elbow, silhouette) for every k: random colours from a fresh stream, Euclidean distance. The histogram and
+    the foremost points, from which every k draws its sample, are built once, each in a scan of the points, and shared by
+    all k; a k gives one row, so the rows are gathered as they come."""
     base = params or KMeansParams(2)
     d = len(channel_names(points))
-    points = points.persist(StorageLevel.MEMORY_AND_DISK) if with_silhouette else points
     hist = histogram(points).persist(StorageLevel.MEMORY_AND_DISK)
+    first = None
     out = []
     try:
+        if with_silhouette:
+            total = hist.agg(F.sum("n").alias("n")).first()["n"] or 0
+            first = foremost(points, max_samples, total).persist(StorageLevel.MEMORY_AND_DISK)
         for k in ks:
             model = fit_histogram(hist, seeding.random_colours(k, d, draw()), KMeansParams(k, base.stab_error, base.max_iterations))
             painted = paint(hist, model)
             row = (k, elbow_error(painted).first()["elbow"])
             if with_silhouette:
-                centroids = painted_centroids(painted, k)
-                label = nearest(channels(points), centroids, "euclidean", MINKOWSKI_P)
-                row = (*row, silhouette_sampled(points.withColumn("cid", label), max_samples, everyone=hist.withColumn("cid", label)).first()["silhouette"])
+                label = nearest(channels(points), painted_centroids(painted, k), "euclidean", MINKOWSKI_P)
+                labelled, everyone, drawn = (x.withColumn("cid", label) for x in (points, hist, first))
+                row = (*row, silhouette_sampled(labelled, max_samples, everyone=everyone, first=drawn).first()["silhouette"])
             out.append(row)
     finally:
         hist.unpersist()
-        if with_silhouette:
-            points.unpersist()
+        if first is not None:
+            first.unpersist()
     return hist.sparkSession.createDataFrame(out, "k int, elbow double" + ", silhouette double" * with_silhouette)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from itertools import accumulate
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chromalyne.sources.storage import scratch
 
+#: Bits of a row's place inside its partition in Spark's increasing ids.
+PLACE_BITS = 33
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -27,21 +32,20 @@ def px3_unordered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def px3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with idx, the rank under the keys. A global rank needs a total order: rows are range-partitioned, ranked
-    inside partitions, and the counts of earlier partitions are added, so no task sees all rows. The ranged rows are a
-    written table, so that a lost executor can't change which row is in which partition."""
+    """The same with idx, the rank under the keys. A global rank needs a total order: rows are range-partitioned, sorted
+    inside partitions and written with their place there, so they are shuffled once, no task sees all rows and a lost
+    executor can't change which row is in which partition; the counts of earlier partitions are added on reading."""
     order = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax"]
-    rows = _lineitem_channels(table(spark, sf_dir, "lineitem"))
+    rows = table(spark, sf_dir, "lineitem").select(*order)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = scratch(spark, "ranged")
-    rows.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()).write.parquet(path)
-    ranged = spark.read.parquet(path)
-    counts = ranged.groupBy("part").agg(F.count("*").alias("n"))
-    before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    firsts = counts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    inside = Window.partitionBy("part").orderBy(*order)
-    ranked = ranged.join(F.broadcast(firsts), "part").withColumn("idx", F.row_number().over(inside) - 1 + F.col("first"))
-    return ranked.select("idx", "c0", "c1", "c2")
+    ranged = _lineitem_channels(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order))
+    ranged.select("c0", "c1", "c2", F.monotonically_increasing_id().alias("place")).write.parquet(path)  # the partition above PLACE_BITS
+    ranged = spark.read.parquet(path).withColumn("part", F.shiftright("place", PLACE_BITS))
+    counts = ranged.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect()  # one row per partition
+    before = accumulate((r["n"] for r in counts), initial=0)
+    firsts = spark.createDataFrame([(r["part"], n) for r, n in zip(counts, before)], "part bigint, first bigint")
+    return ranged.join(F.broadcast(firsts), "part").select((F.col("place").bitwiseAND((1 << PLACE_BITS) - 1) + F.col("first")).alias("idx"), "c0", "c1", "c2")
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:

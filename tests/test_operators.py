@@ -1,3 +1,5 @@
+import collections
+import hashlib
 import itertools
 
 import numpy as np
@@ -189,6 +191,36 @@ def test_stratified_sample_has_its_quotas(spark):
     assert quality.stratified_sample(df, 50).exceptAll(quality.stratified_sample(df.repartition(7), 50)).count() == 0
 
 
+def test_stratified_sample_of_small_and_large_clusters_is_the_ranked_one(spark):
+    cid = F.when(F.col("id") < 1, 0).when(F.col("id") < 3, 1).when(F.col("id") < 40, 2).when(F.col("id") < 2000, 3).otherwise(4)
+    df = spark.range(20_000).select(F.col("id").alias("idx"), cid.alias("cid"), (F.col("id") % 7).cast("int").alias("c0"))
+    rows = sorted((hashlib.md5(str(r["idx"]).encode()).hexdigest(), r["idx"], r["cid"]) for r in df.collect())
+    sizes = collections.Counter(y for _, _, y in rows)
+    for most in (1, 30, 300, 15_000, 30_000):
+        want = {i for y, n in sizes.items() for _, i, _ in [r for r in rows if r[2] == y][: max(1, most * n // len(rows))]}
+        got = quality.stratified_sample(df, most)
+        assert got.columns == ["cid", "idx", "c0"] and {r["idx"] for r in got.collect()} == want and got.count() == len(want)
+
+
+def test_sweep_orders_every_point_once_for_all_k(spark, monkeypatch):
+    ordered = spark.sparkContext.accumulator(0)
+
+    def order(i):
+        ordered.add(1)
+        return hashlib.md5(str(i).encode()).hexdigest()
+
+    monkeypatch.setattr(quality, "sample_order", F.udf(order, "string"))
+    df = spark.range(20_000).select(F.col("id").alias("idx"), *[((F.col("id") * (31 + i)) % 200).cast("int").alias(f"c{i}") for i in range(3)])
+    assert quality.k_sweep(df, range(2, 6), max_samples=50).count() == 4
+    assert 20_000 <= ordered.value < 30_000
+
+
+def test_few_colours_meet_the_anchors_in_several_tasks(spark):
+    hist = spark.range(0, 50, 1, 1).select((F.col("id") % 2).cast("int").alias("cid"), F.col("id").cast("int").alias("c0"), F.lit(2).cast("bigint").alias("n"))
+    plan = quality.silhouette(hist)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
+
+
 def test_sweep_has_a_row_for_each_k(spark, cloud):
     rows = quality.k_sweep(cloud[0], range(2, 5), max_samples=100).orderBy("k").collect()
     assert [r["k"] for r in rows] == [2, 3, 4] and all(-1 <= r["silhouette"] <= 1 for r in rows)
